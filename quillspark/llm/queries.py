@@ -6,16 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op4_bpe_encoding
+from .chat import op10_chat_formatting
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op3_embedding_near_dedup
+from .licenses import op9_license_scans
+from .secrets import op2_secret_scans
 from .simhash import op8_simhash_near_dedup
+from .substrings import op5_suffix_array_dedup
+from .toxicity import op7_toxicity
+from .warc import op6_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_embedding_near_dedup, op8_simhash_near_dedup)}
+    ops = (
+        op1_benchmark_decontamination,
+        op2_secret_scans,
+        op3_embedding_near_dedup,
+        op4_bpe_encoding,
+        op5_suffix_array_dedup,
+        op6_warc,
+        op7_toxicity,
+        op8_simhash_near_dedup,
+        op9_license_scans,
+        op10_chat_formatting,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Where DuckDB can say the same over whole tables in reasonable time; the other queries are held
+    against brute force in tests/llm."""
     return {}
