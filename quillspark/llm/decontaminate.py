@@ -69,7 +69,7 @@ def hits(index: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
     per_doc = found.groupBy("doc", "h").agg(F.collect_list(F.struct("uid", "n", "at")).alias("al"))
     # the documents' postings as one array from position 0; 0 where a word is no benchmark term
     near = small(found.select("doc", "h").distinct())
-    lists = index.join(near, index["doc"].eqNullSafe(near["doc"]) & (index["h"] == near["h"]), "left_semi").groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("p"))
+    lists = index.join(near, index["doc"].eqNullSafe(near["doc"]) & (index["h"] == near["h"]), "left_semi").groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("p"))  # a set: rows may repeat
     both = lists.join(per_doc.withColumnsRenamed({"doc": "doc2", "h": "h2"}), F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")))
     # each alignment takes along its own stretch of the document only
     piece = lambda a: F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), -a["at"])), F.slice(F.col("fwd"), F.greatest(a["at"], F.lit(0)) + 1, F.greatest(F.lit(0), a["n"] + F.least(a["at"], F.lit(0)))))

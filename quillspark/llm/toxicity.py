@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model({}, [50.0])
     p, n = float(totals["pos"]), float(totals["neg"])
     share = (F.col("pos") + F.col("neg")) / (p + n)
-    z = F.abs(F.col("pos") / p - F.col("neg") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n))
+    z = F.try_divide(F.abs(F.col("pos") / p - F.col("neg") / n), F.sqrt(share * (1 - share) * (1 / p + 1 / n)))
     kept = counts.filter("feature <> '' and pos + neg >= 3").withColumn("z", z).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "feature").limit(max_features)
     names = [r["feature"] for r in kept.collect()]
     number = {f: k for k, f in enumerate(names)}
