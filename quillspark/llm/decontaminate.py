@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, small, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LENGTH = 10
 
 
@@ -33,10 +32,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
-
-
 def items_of(benchmark: DataFrame, item_col: str, text_col: str, length: int) -> DataFrame:
     """(uid, words, n, size, item_ids): distinct word sequences with the items that have them."""
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
@@ -45,35 +40,46 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str, length: int) ->
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(doc, h, term, pos): the postings of the given terms (`word`, `term`), stored. h tells texts of one id apart."""
-    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+    """(doc, h, term, pos): the postings of the given terms (`word`, `term`), stored. h tells texts of one id
+    apart. Each row of docs ends with a posting of term 0, the end mark, whose position is its number of words."""
+    marked = F.concat(words(F.col(text_col)), F.array(F.lit("")))
+    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.posexplode(marked).alias("pos", "word"))
     return written(d.join(terms, "word").select("doc", "h", "term", "pos"), "postings")
 
 
-def alignments(index: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, h, uid, n, at): where an item's word 0 would stand, by the rarest term of each window."""
-    freq = index.groupBy("term").agg(F.count("*").alias("freq"))
-    rank = terms.join(freq, "term", "left").select("word", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
-    slot = items.select("uid", "n", "size", F.posexplode("words").alias("off", "word")).join(rank, "word")
-    per_window = slot.select("uid", "n", "freq", "off", "term", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("size") + 1), F.least(F.col("off"), F.col("n") - F.col("size")))).alias("window"))
-    anchor = per_window.groupBy("uid", "n", "window").agg(F.min(F.struct("freq", "off", "term")).alias("a"))
-    anchors = small(anchor.filter("a.freq > 0").select("uid", "n", "a.off", "a.term").distinct())
-    return index.join(anchors, "term").select("doc", "h", "uid", "n", (F.col("pos") - F.col("off")).alias("at")).distinct()
+def anchors(index: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, at): per term that is the rarest of some window, the items and offsets where it is."""
+    freq = index.filter("term > 0").groupBy("term").agg(F.count("*").alias("freq"))
+    slot = items.select("uid", "n", "size", F.posexplode("words").alias("off", "word")).join(terms, "word").join(freq, "term")
+    per_window = slot.select("uid", "n", "size", "freq", "off", "term", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("size") + 1), F.least(F.col("off"), F.col("n") - F.col("size")))).alias("window"))
+    # a window one of whose terms is in no document is in none
+    rarest = per_window.groupBy("uid", "n", "size", "window").agg(F.min(F.struct("freq", "off", "term")).alias("a"), F.count("*").alias("known")).filter("known = size")
+    return rarest.groupBy("a.term").agg(F.collect_set(F.struct("uid", "n", F.col("a.off").alias("off"))).alias("at"))
+
+
+def packed(pos: Column, term: Column) -> Column:
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(term.cast("long"))
+
+
+def pos_of(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
+
+
+def term_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def hits(index: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, h, uid, starts, covered): per document and item, positions where windows start, and those inside."""
     coded = items.select("uid", "size", "n", "item_ids", F.posexplode("words").alias("off", "word")).join(terms, "word")
     coded = coded.groupBy("uid").agg(F.first("size").alias("size"), F.first("item_ids").alias("item_ids"), F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]).alias("terms"))
-    found = written(alignments(index, items, terms), "alignments")
-    per_doc = found.groupBy("doc", "h").agg(F.collect_list(F.struct("uid", "n", "at")).alias("al"))
-    # the documents' postings as one array from position 0; 0 where a word is no benchmark term
-    near = small(found.select("doc", "h").distinct())
-    lists = index.join(near, index["doc"].eqNullSafe(near["doc"]) & (index["h"] == near["h"]), "left_semi").groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("p"))  # a set: rows may repeat
-    both = lists.join(per_doc.withColumnsRenamed({"doc": "doc2", "h": "h2"}), F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")))
+    # one aggregation by document takes its postings and the alignments that its rarest terms give
+    row = index.filter("term > 0").join(small(anchors(index, items, terms)), "term", "left")
+    row = row.select("doc", "h", packed(F.col("pos"), F.col("term")).alias("p"), F.transform("at", lambda c: F.struct(c["uid"].alias("uid"), c["n"].alias("n"), (F.col("pos") - c["off"]).alias("at"))).alias("al"))
+    row = row.groupBy("doc", "h").agg(F.collect_set("p").alias("p"), F.collect_set("al").alias("al")).filter(F.size("al") > 0)
+    row = row.select("doc", "h", dense(F.sort_array("p")).alias("fwd"), F.array_distinct(F.flatten("al")).alias("al"))
     # each alignment takes along its own stretch of the document only
     piece = lambda a: F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), -a["at"])), F.slice(F.col("fwd"), F.greatest(a["at"], F.lit(0)) + 1, F.greatest(F.lit(0), a["n"] + F.least(a["at"], F.lit(0)))))
-    row = both.select("doc", "h", dense("p").alias("fwd"), "al")
     row = row.select("doc", "h", F.explode(F.transform("al", lambda a: F.struct(a["uid"].alias("uid"), a["at"].alias("at"), piece(a).alias("piece")))).alias("a"))
     row = row.select("doc", "h", "a.uid", "a.at", "a.piece").join(small(coded), "uid")
     size, at = F.col("size"), F.col("at")
@@ -84,39 +90,49 @@ def hits(index: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
     return row.withColumn("covered", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + size - 1)))))
 
 
-def dense(col: str) -> Column:
-    """Sorted (pos, term) pairs as an array indexed by pos, with 0 between them."""
-    p = F.col(col)
-    prev = F.concat(F.array(F.lit(-1)), F.transform(p, lambda x: x["pos"]))
-    return F.flatten(F.zip_with(p, F.slice(prev, 1, F.size(p)), lambda x, q: F.concat(F.array_repeat(F.lit(0), x["pos"] - q - 1), F.array(x["term"]))))
+def dense(p: Column) -> Column:
+    """Sorted packed postings, repeats included, as an array of terms by position, with 0 between them."""
+
+    def put(x: Column, before: Column) -> Column:
+        gap = pos_of(x) - pos_of(before) - 1
+        return F.when(gap == 0, F.array(term_of(x))).otherwise(F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), gap)), F.array_repeat(term_of(x), (x != before).cast("int"))))
+
+    return F.flatten(F.zip_with(p, F.concat(F.array(F.lit(-(1 << 32))), F.slice(p, 1, F.size(p) - 1)), put))
 
 
 def vocabulary(items: DataFrame) -> DataFrame:
-    """(word, term): the benchmark's words, numbered from 1 by a window over distinct words alone."""
+    """(word, term): the benchmark's words, numbered from 1 by a window over distinct words alone, and the end mark."""
     from pyspark.sql import Window
 
     w = items.select(F.explode("words").alias("word")).distinct()
-    return small(w.select("word", F.row_number().over(Window.orderBy("word")).alias("term")))
+    mark = items.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).alias("term"))
+    return small(w.select("word", F.row_number().over(Window.orderBy("word")).alias("term")).unionByName(mark))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc, h, n_hit, items): per contaminated document, words inside occurrences and the items' ids."""
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """The index of docs, and (doc, h, n_hit, items): per contaminated document, words inside occurrences and the items' ids."""
     items = written(items_of(benchmark, item_col, item_text_col, length), "items")
     terms = vocabulary(items)
     index = build_index(docs, id_col, text_col, terms)
-    found = hits(index, items, terms)
-    return found.groupBy("doc", "h").agg(
+    found = hits(index, items, terms).groupBy("doc", "h").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"),
     )
+    return index, found
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(doc, h, n_hit, items) of search()."""
+    return search(docs, benchmark, id_col, text_col, item_col, item_text_col, length)[1]
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document row: id, n_words, n_hit, items, contaminated."""
-    m = small(matches(docs, benchmark, id_col, text_col, item_col, item_text_col, length))
-    d = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_h"), n_words(F.col(text_col)).alias("n_words"))
-    out = d.join(m, d[id_col].eqNullSafe(m["doc"]) & (d["_h"] == m["h"]), "left")
-    return out.select(d[id_col], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    """Per document row: id, n_words, n_hit, items, contaminated. Rows and their word counts come from the end marks."""
+    index, found = search(docs, benchmark, id_col, text_col, item_col, item_text_col, length)
+    m = small(found)
+    d = index.filter("term = 0").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), F.col("pos").cast("long").alias("n_words"))
+    out = d.join(m, d["_d"].eqNullSafe(m["doc"]) & (d["_h"] == m["h"]), "left")
+    return out.select(F.col("_d").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH) -> DataFrame:
