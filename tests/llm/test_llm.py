@@ -63,6 +63,10 @@ def test_decontamination(spark):
     docs = corpus()
     bench = [(k, " ".join((docs[k][1] or "").split(" ")[5:25])) for k in range(0, 30, 3)] + [(70, "short item"), (71, None), (72, "!!"), (73, "ab"), (74, docs[0][1]), (75, docs[0][1])]
     docs += [(905, "A SHORT ITEM, here"), (906, "ab ab")]
+    # an item's end at a document's start, its start at a document's end, and windows of one word repeated
+    cut = [f"w{k}" for k in range(25)]
+    bench += [(76, " ".join(cut)), (77, "zz " * 14)]
+    docs += [(907, " ".join(cut[8:])), (908, "new " + " ".join(cut[:12])), (909, " ".join(cut[:9])), (910, "zz " * 11 + "w3"), (911, "zz " * 9), (912, "zz " * 40)]
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = decontaminate.report(frame(spark, docs), b).collect()
     assert sorted(map(tuple, got), key=str) == brute_hits(docs, bench)
