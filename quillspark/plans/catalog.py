@@ -176,6 +176,14 @@ def v02(s, d):
     return O.beyond_vocabulary(t(s, d, "documents"), "doc_id", "text", words(s, d, "benchmark").union(words(s, d, "conversations")).distinct())
 
 
+@register("v05_word_position", f"with {CURR}, occ as (select conv_id, turn, {TOK} as word from conversations), f as (select word, min((conv_id, turn)) as p from occ where word is not null group by word) select coalesce(f.word, curr.word) as word, coalesce(f.p[1], 99) as volume, f.p[2] as unit from f full join curr on f.word = curr.word")
+def v05(s, d):
+    """A word's first place in the textbooks (volume, unit); words of the curriculum alone are in volume 99."""
+    occ = t(s, d, "conversations").select("conv_id", "turn", F.explode(O.tokens(F.col("text"))).alias("word"))
+    first = occ.groupBy(F.lower("word").alias("word")).agg(F.min(F.struct("conv_id", "turn")).alias("p"))
+    return first.join(words(s, d, "benchmark"), "word", "full").select("word", F.coalesce("p.conv_id", F.lit(99)).cast("long").alias("volume"), F.col("p.turn").alias("unit"))
+
+
 @register("v08_token_coverage", f"with {CURR}, tk as (select word, count(*) as n from (select {TOK} as word from documents) group by word having count(*) >= 2), st as (select word, {sql_stem(COVERAGE_SUFFIXES, 3)} as stem from tk), x as (select word in (select word from curr) as direct, coalesce(stem in (select word from curr), false) as by_stem from st) select count(*) as tokens, count(*) filter (direct) as direct, count(*) filter (direct or by_stem) as covered, round(count(*) filter (direct or by_stem) / count(*), 6) as share from x")
 def v08(s, d):
     return O.coverage(O.token_frequency(t(s, d, "documents"), [], "text"), words(s, d, "benchmark"))
