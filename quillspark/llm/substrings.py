@@ -53,6 +53,7 @@ def anchors(data: bytes, length: int = LENGTH, start: int = 0) -> Iterator[tuple
     """(anchor, first, last): each anchor with the first and last of the strings that it stands for."""
     q, n = length // 2, len(data) - length + 1
     w = length - q + 1
+    held = None  # a chunk's last anchor, which may go on in the next chunk
     for at in range(0, n, CHUNK):
         strings = min(CHUNK, n - at)
         raw = np.frombuffer(data, dtype=np.uint8, count=strings + length - 1, offset=at)
@@ -74,7 +75,15 @@ def anchors(data: bytes, length: int = LENGTH, start: int = 0) -> Iterator[tuple
         cut = np.flatnonzero(np.diff(idx)) + 1
         first = np.concatenate([[0], cut])
         last = np.concatenate([cut, [strings]]) - 1
-        yield from zip((idx[first] + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
+        for x in zip((idx[first].astype(np.int64) + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True):
+            if held and held[0] == x[0]:
+                held = (x[0], held[1], x[2])
+                continue
+            if held:
+                yield held
+            held = x
+    if held:
+        yield held
 
 
 def _digest(x: bytes) -> bytes:

@@ -196,6 +196,20 @@ def test_substrings_empty(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substrings_chunk_borders(spark, monkeypatch):
+    r = random.Random(11)
+    data = r.randbytes(9000)
+    whole = list(substrings.anchors(data, 100))
+    for chunk in (1, 7, 64, 1000):
+        monkeypatch.setattr(substrings, "CHUNK", chunk)
+        assert list(substrings.anchors(data, 100)) == whole
+    text = base64.b64encode(r.randbytes(2_400_000)).decode()  # over three chunks, nothing in it twice
+    rows = [(1, text), (2, text[500:1500])]
+    got = {x["doc_id"]: x for x in substrings.remove_repeats(frame(spark, rows), with_kept=False).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"]) == (1000, 1) and got[2]["n_removed"] == 1000
+    assert got[1]["kept_sha256"] == hashlib.sha256((text[:500] + text[1500:]).encode()).hexdigest()
+
+
 # -- 6
 def test_warc(spark):
     rows = [(1, None, None), (2, "http://a.b/x\r\n", "é\r\n\r\nWARC/1.1\r\n"), (3, "x", ""), (4, "http://[bad", "a\n"), (5, "y", "a\n"), (6, "http://www.A.com:80/q?b=2&a=1", "\r\n")]
