@@ -132,6 +132,49 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def met_pairs(spark, rows, window, parts):
+    """Pairs that the windows of a few passes link, with so many shuffle partitions."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, d = embeddings.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        d = d.withColumn("k", F.col("least_id"))
+        return {(x["a"], x["b"]) for x in embeddings.window_links(d, range(3), 0.95, window, 17).filter("same is null").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_embedding_windows_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "GROUP", 2)
+    r = np.random.default_rng(6)
+    centre = r.standard_normal((150, 16))
+    rows = [(i, [float(x) for x in centre[i % 150] + r.standard_normal(16) * 0.2]) for i in range(600)]
+
+    def joined(pairs):
+        label = list(range(600))
+        for _ in range(60):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert joined(met_pairs(spark, rows, 8, 1)) == joined(met_pairs(spark, rows, 8, 60))
+
+
+def test_embedding_recall_in_a_cone(spark):
+    r = np.random.default_rng(8)
+    y = r.standard_normal((1200, 64))
+    y[800:, :] = y[:400] + r.standard_normal((400, 64)) * 0.9
+    c = np.full(64, 2.6)  # all in one cone, hardly any linked but the pairs
+    e = y + c
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<double>"), window=8).collect()}
+    assert 0.3 < (u @ u.T).mean() and 0 < near.sum() and sum(got.values()) >= 0.99 * near.sum()
+
+
 # -- 4
 def test_bpe_against_library():
     tokenizers = pytest.importorskip("tokenizers")
