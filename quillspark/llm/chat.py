@@ -4,7 +4,8 @@ Messages are parsed into their own lines and quoted passages with nested levels
 level). Normalised passages and their lines are hashed and joined to the original messages: the
 earliest turn of the conversation that has the passage as its own text, else the earliest message of any
 conversation. Originals are pre-aggregated to one row per hash, so a very common passage joins as one
-row. Threads are the components of replies inside a conversation; messages come out without quotes,
+row. Passages of every level are linked: a message replies to the original of its lowest level that has
+one, and `quoted` lists the originals of all levels. Threads are the components of these links inside a conversation; messages come out without quotes,
 ordered by thread and turn (a parent always stands before its replies).
 
 Defined cases: null text is empty; empty messages stay; a quote without original is removed and linked
@@ -62,7 +63,8 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per message: conversation, turn, role, text without quotes, n_quotes, reply_to_conv, reply_to_turn,
-    thread (first turn of the thread), seq (place in the reply-ordered conversation, from 1)."""
+    thread (first turn of the thread), seq (place in the reply-ordered conversation, from 1), quoted
+    (level, conversation and turn of each level's original)."""
     src = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,22 +83,26 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     m = written(src.mapInPandas(run, "conv long, turn long, role string, text string, n_quotes long, keys array<long>, level array<int>, whole array<long>, line array<long>"), "messages")
     have = m.filter("conv is not null and turn is not null").select("conv", "turn", F.explode("keys").alias("key"))
     # only what is quoted somewhere is worth an entry
-    q = m.filter("conv is not null and turn is not null and n_quotes > 0").select("conv", "turn", F.explode(F.arrays_zip("level", "whole", "line")).alias("q")).select("conv", "turn", "q.level", "q.whole", "q.line").filter("level = 1")
-    asked = written(q.select("conv", "turn", F.lit(2).alias("weight"), F.col("whole").alias("key")).unionByName(q.select("conv", "turn", F.lit(1).alias("weight"), F.col("line").alias("key"))).distinct(), "quotes")
+    q = m.filter("conv is not null and turn is not null and n_quotes > 0").select("conv", "turn", F.explode(F.arrays_zip("level", "whole", "line")).alias("q")).select("conv", "turn", "q.level", "q.whole", "q.line")
+    asked = written(q.select("conv", "turn", "level", F.lit(2).alias("weight"), F.col("whole").alias("key")).unionByName(q.select("conv", "turn", "level", F.lit(1).alias("weight"), F.col("line").alias("key"))).distinct(), "quotes")
     have = have.join(asked.select("key").distinct(), "key", "left_semi")
     inside = have.groupBy("conv", "key").agg(F.min("turn").alias("at"))
     first = have.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("first"))
     hit = asked.join(inside, ["conv", "key"], "left").join(first, "key", "left")
     to = F.when(F.col("at") < F.col("turn"), F.struct(F.lit(0).alias("far"), F.col("conv").alias("c"), F.col("at").alias("t"))).when(F.col("first.conv") != F.col("conv"), F.struct(F.lit(1).alias("far"), F.col("first.conv").alias("c"), F.col("first.turn").alias("t")))
-    votes = hit.select("conv", "turn", "weight", to.alias("to")).filter("to is not null").groupBy("conv", "turn", "to").agg(F.sum("weight").alias("votes"))
-    reply = votes.groupBy("conv", "turn").agg(F.min(F.struct("to.far", (-F.col("votes")).alias("less"), (-F.col("to.t")).alias("late"), "to")).alias("best")).select("conv", "turn", F.col("best.to.c").alias("reply_to_conv"), F.col("best.to.t").alias("reply_to_turn"))
+    votes = hit.select("conv", "turn", "level", "weight", to.alias("to")).filter("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("weight").alias("votes"))
+    best = votes.groupBy("conv", "turn", "level").agg(F.min(F.struct("to.far", (-F.col("votes")).alias("less"), (-F.col("to.t")).alias("late"), "to")).alias("best"))
+    quoted = F.sort_array(F.collect_list(F.struct("level", F.col("best.to.c").alias("conv"), F.col("best.to.t").alias("turn"))))
+    # the lowest level with an original is what the message answers
+    reply = best.groupBy("conv", "turn").agg(quoted.alias("quoted")).select("conv", "turn", F.col("quoted")[0]["conv"].alias("reply_to_conv"), F.col("quoted")[0]["turn"].alias("reply_to_turn"), "quoted")
     reply = written(reply, "replies")
     node = lambda c, t: F.struct(F.col(c).alias("c"), F.col(t).alias("t"))
-    roots = connected_components(reply.filter("conv = reply_to_conv").select(node("conv", "turn").alias("a"), node("reply_to_conv", "reply_to_turn").alias("b")))
+    inner = reply.select("conv", "turn", F.explode("quoted").alias("q")).filter("conv = q.conv").select("conv", "turn", F.col("q.conv").alias("conv2"), F.col("q.turn").alias("turn2"))
+    roots = connected_components(inner.select(node("conv", "turn").alias("a"), node("conv2", "turn2").alias("b")))
     roots = roots.select(F.col("node.c").alias("conv"), F.col("node.t").alias("turn"), F.col("root.t").alias("thread"))
     out = m.select("conv", "turn", "role", "text", "n_quotes").join(reply, ["conv", "turn"], "left").join(roots, ["conv", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
     out = out.withColumn("seq", F.row_number().over(Window.partitionBy("conv").orderBy("thread", "turn", "role", "text")))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "n_quotes", "reply_to_conv", "reply_to_turn", "thread", "seq")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "n_quotes", "reply_to_conv", "reply_to_turn", "thread", "seq", F.coalesce("quoted", F.array().cast("array<struct<level:int,conv:bigint,turn:bigint>>")).alias("quoted"))
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:

@@ -356,6 +356,14 @@ def test_chat(spark):
     assert got[2, 2]["reply_to_turn"] is None and got[2, 1]["text"] == "" and len(got) == 9
 
 
+def test_chat_nested_quotes(spark):
+    rows = [(1, 0, "u", "Shall we meet at noon?"), (1, 1, "a", "Noon is fine."), (1, 2, "u", ">> Shall we meet at noon?\nagain"), (1, 3, "a", "> not said by anyone\n> > Noon is fine.\nyes"), (1, 4, "u", "> Noon is fine.\n>> Shall we meet at noon?\n>>> from elsewhere\nso"), (2, 0, "u", "from elsewhere")]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t]["reply_to_turn"] for t in range(5)] == [None, None, 0, 1, 1]
+    assert [got[1, t]["thread"] for t in range(5)] == [0] * 5
+    assert [tuple(x) for x in got[1, 4]["quoted"]] == [(1, 1, 1), (2, 1, 0), (3, 2, 0)] and got[1, 0]["quoted"] == []
+
+
 # -- shared
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 300), (5, 5), (7, 6)] + [(1000, 1000 + k) for k in range(50)]
