@@ -1,7 +1,7 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form (case, punctuation, white space, copyright lines, equivalent
-spellings), its SHA-256 is joined with the digests of known licence texts, and each of its lines that speaks of a
+A text is brought to a canonical form (case, punctuation, white space, copyright statements, a known
+title line, equivalent spellings), its SHA-256 is joined with the digests of known licence texts, and each of its lines that speaks of a
 licence is looked up among the digests of known notices. Only these constant tables are broadcast.
 
 Defined cases: null and empty texts have the digest of the empty text and no licence; a text that is just
@@ -50,7 +50,6 @@ SPELLINGS = [
     ("wilful", "willful"),
 ]
 _LICENSE = re.compile("licen[cs]e", re.I)
-COPYRIGHT = r"(?m)^\W*(?:copyright|©|\(c\)|all rights reserved)[^\n]*$"
 _WORDS = "|".join(a for a, _ in SPELLINGS)
 
 # The texts of known licences.
@@ -60,8 +59,19 @@ TEXTS = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
+# Last lines with which a licence is published as well as without.
+TAILS = {"Unlicense": [" For more information, please refer to <http://unlicense.org/>", " For more information, please refer to <https://unlicense.org/>"]}
+# Title lines of the published texts, in canonical form.
+TITLES = {
+    "mit license", "the mit license", "the mit license mit", "mit license mit", "expat license",
+    "isc license", "the isc license", "isc license isc",
+    "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "bsd zero clause license 0bsd",
+    "bsd 2 clause license", "the 2 clause bsd license", "simplified bsd license", "bsd 2 clause simplified license",
+    "zlib license", "the zlib license", "the zlib libpng license", "zlib libpng license",
+    "the unlicense", "unlicense",
+}
 # Lines that state a licence.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."],
@@ -71,13 +81,25 @@ NOTICES = {
 }
 
 
+# A statement names a year, a sign or a holder; these words after 'copyright' are a licence body's instead.
+_BODY = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?|protection|rights?|and|or|in|of|to|is|are|as|for|on|shall|may|if|the\s+above)\b"
+# Openings of licences and notices, where a statement on the same line ends.
+_OPENINGS = "|".join(sorted({r"\W+".join(re.findall(r"\w+", t)[:3]) for t in [*TEXTS.values(), *(x for n in NOTICES.values() for x in n)]}))
+COPYRIGHT = rf"(?im)^[^\w\n]*(?:copyright[^\w\n]*(?:\(c\)|©|\d{{4}}\b|[<\[{{])|copyright[ \t]*:?[ \t]+(?!{_BODY})\w|©|\(c\)[^\w\n]*(?:copyright\b|\d{{4}}\b)|all rights reserved\b)[^\n]*?(?=\b(?:{_OPENINGS})\b|$)"
+
 _COPYRIGHT, _BREAK, _SPELL, _SPELLED = re.compile(COPYRIGHT), re.compile(r"[\W_]+"), re.compile(rf"\b(?:{_WORDS})\b"), dict(SPELLINGS)
 
 
+def _plain(text: str) -> str:
+    return _SPELL.sub(lambda m: _SPELLED[m[0]], _BREAK.sub(" ", text.lower())).strip()
+
+
 def canonical(text: str) -> str:
-    t = _COPYRIGHT.sub(" ", text.lower())
-    t = _BREAK.sub(" ", t)
-    return _SPELL.sub(lambda m: _SPELLED[m[0]], t).strip()
+    t = _COPYRIGHT.sub(" ", text).lstrip()
+    title, _, rest = t.partition("\n")
+    if len(title) < 80 and _plain(title) in TITLES:
+        return _plain(_COPYRIGHT.sub(" ", rest)) or _plain(title)
+    return _plain(t)
 
 
 def digest(text: str) -> str:
@@ -87,7 +109,7 @@ def digest(text: str) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, license_id, notices): the licence that the whole text is, and those its lines name."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    known = F.broadcast(spark.createDataFrame(sorted((digest(t), k) for k, t in TEXTS.items()), "digest string, license_id string"))
+    known = F.broadcast(spark.createDataFrame(sorted((digest(t + tail), k) for k, t in TEXTS.items() for tail in ("", *TAILS.get(k, ()))), "digest string, license_id string"))
     notice = {digest(t): k for k, ts in NOTICES.items() for t in ts}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

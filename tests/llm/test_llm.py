@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 from array import array
 
 import numpy as np
@@ -345,6 +346,55 @@ def test_licenses(spark):
     assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, "")}
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+
+
+def test_licenses_as_published(spark):
+    heads = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 Someone\n\n",
+        "ISC": "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\nCopyright 1995 Another Holder\n\n",
+        "0BSD": "BSD Zero Clause License\n\nCopyright (C) 2006 by A. Name <a@b.org>\n\n",
+        "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n",
+        "Zlib": "zlib License\n\n(C) 1995-2022 A and B\n\n",
+        "Unlicense": "",
+    }
+    rows, want = [(0, UNLICENSE), (1, UNLICENSE.rsplit("\n\n", 1)[0])], {0: "Unlicense", 1: "Unlicense"}
+    for name, head in heads.items():
+        for width in (40, 55, 63, 70, 78):  # some of these break before 'copyright'
+            want[len(rows)] = name
+            rows.append((len(rows), head + textwrap.fill(licenses.TEXTS[name], width)))
+        want[len(rows)] = name
+        rows.append((len(rows), head + re.sub(r" (?=copyright)", "\n", licenses.TEXTS[name], flags=re.I)))
+    want |= {len(rows): "MIT", len(rows) + 1: None, len(rows) + 2: None}
+    rows += [(len(rows), "Copyright 2020 Someone. " + licenses.TEXTS["MIT"]), (len(rows) + 1, UNLICENSE[:300]), (len(rows) + 2, "MIT License")]
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan(frame(spark, rows)).collect()} == want
+    assert licenses.canonical("Copyright (c) 2020 X\n© Y\nCopyright Some Holder\nAll rights reserved.") == ""
+
+
 # -- 10
 def test_chat(spark):
     rows = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> Hello there.\n> How are you?\nFine, thanks."), (1, 2, "u", "ok"), (1, 3, "u", "On Monday X wrote:\n> > Hello there.\n> Fine, thanks.\nGood"), (2, 0, "u", "> Fine, thanks.\nwhat"), (2, 1, None, None), (2, 2, "u", "> nothing like it"), (None, 0, "u", "x"), (3, 0, "u", "> ok\nok")]
