@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Each layer of a text is scanned by the three patterns, then unwrapped: percent escapes, backslash-u (and
--x) escapes, and runs of base64, whose bytes may again be gzip, zlib or bzip2 streams. What is unwrapped
+-x) escapes, gzip, zlib and bzip2 streams (all members) among their bytes, and runs of base64, at each
+alignment and over wrapped lines. Bytes that are not UTF-8 are read one character each. What is unwrapped
 goes on the worklist until nothing new comes (fixpoint); a layer that was seen before for the same piece
 of text is not scanned again (cycle detection). Escapes decode to a layer with a map of its stretches
 back to the layer above; a base64 run is mapped as a whole. A secret found in a layer is reported as the
@@ -17,7 +18,6 @@ that coincide are reported once per kind; other columns are kept by redact() and
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -39,7 +39,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BACKSLASH = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+BREAK = re.compile(r"[ \t\r\n]+")
+PACKED = re.compile("\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
+BYTES = re.compile("[\x00-\xff]*")
+LEAST = 12  # bytes of the shortest secret; a compressed or nested one is longer
 MAX_LAYER, MAX_TOTAL = 16 << 20, 64 << 20
 
 
@@ -77,6 +82,10 @@ def _percent(s: str) -> str:
     return bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace")
 
 
+def _percent_bytes(s: str) -> str:
+    return bytes.fromhex(s.replace("%", "")).decode("latin-1")
+
+
 def _backslash(s: str) -> str | None:
     try:
         out = "".join(chr(int(a or b or c, 16)) for a, b, c in UNIT.findall(s))
@@ -85,39 +94,43 @@ def _backslash(s: str) -> str | None:
         return None
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """(what a compressed stream holds, or None; whether it was cut at the limit)."""
+def _member(data: bytes, limit: int) -> tuple[bytes, bytes, bool] | None:
+    """(what one compressed stream holds, what follows it, whether it was cut at the limit); None if it is none."""
+    packed = data[:3] == b"BZh"
     try:
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, limit)
-            return out, not d.eof and not d.needs_input
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit)
-            return out, bool(d.unconsumed_tail)
+        d = bz2.BZ2Decompressor() if packed else zlib.decompressobj(47)
+        out = d.decompress(data, limit)
     except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None, False
+        return None
+    cut = not d.eof and not d.needs_input if packed else bool(d.unconsumed_tail)
+    return out, d.unused_data, cut
 
 
-def _unbase64(s: str) -> bytes | None:
-    body = s.rstrip("=").replace("-", "+").replace("_", "/")
+def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
+    """(what all members of a compressed stream hold with what follows them, or None; whether it was cut)."""
+    parts, room = [], limit
+    while PACKED.match(data[:10].decode("latin-1")) and room > 0 and _member(data[:256], 1 << 16) and (got := _member(data, room)):
+        out, data, cut = got
+        parts.append(out)
+        room -= len(out)
+        if cut:
+            return b"".join(parts), True
+    return (b"".join([*parts, data]), room <= 0 and bool(data)) if parts else (None, False)
+
+
+def _unbase64(body: str) -> bytes:
     if len(body) % 4 == 1:
         body = body[:-1]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
 
 
-def _as_text(data: bytes) -> str | None:
-    """Bytes that read as text: UTF-8 without control characters."""
+def _texts(data: bytes) -> list[str]:
+    """What bytes can be read as: UTF-8, else one character a byte; with NULs, UTF-16 too."""
     try:
-        t = data.decode("utf-8")
+        out = [data.decode("utf-8")]
     except UnicodeDecodeError:
-        return None
-    return t if t and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", t) else None
+        out = [data.decode("latin-1")]
+    return [*out, data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")] if b"\0" in data else out
 
 
 def layers(text: str, max_layer: int, max_total: int, flags: dict) -> Iterator[tuple[str, object]]:
@@ -150,26 +163,38 @@ def layers(text: str, max_layer: int, max_total: int, flags: dict) -> Iterator[t
 
         return back
 
+    def unpacked(data: bytes, at: tuple[int, int], above: str):
+        for _ in range(64):  # compressed streams within each other; each strictly a new layer
+            raw, cut = _inflate(data, max_layer)
+            if cut:
+                flags["truncated"] = True
+            if raw is None:
+                break
+            data = raw
+        if len(data) < LEAST:
+            return
+        for t in _texts(data):
+            if t != above and new(t, back := (lambda a, b, at=at: at), at):
+                yield t, back
+
     while work:
         layer, where = work.popleft()
-        for sign, pattern, decode in (("%", PERCENT, _percent), ("\\", BACKSLASH, _backslash)):
+        for sign, pattern, decode in (("%", PERCENT, _percent), ("%", PERCENT, _percent_bytes), ("\\", BACKSLASH, _backslash)):
             if sign in layer and (got := _escapes(layer, pattern, decode)) and new(got[0], back := stretch(where, got[1]), where(0, len(layer))):
                 yield got[0], back
-        for m in BASE64.finditer(layer):
-            # plain words and hex runs decode as well; only what gives text or a compressed stream counts
-            data = _unbase64(m[0])
-            if data is None:
+        for m in PACKED.finditer(layer):
+            start = layer[m.start() : m.start() + 256]
+            if _member(BYTES.match(start)[0].encode("latin-1"), 1 << 16) is None:
                 continue
-            at, raw = where(m.start(), m.end()), None
-            for _ in range(64):  # compressed streams within each other; each strictly a new layer
-                raw, cut = _inflate(data, max_layer)
-                if raw is None:
-                    break
-                flags["truncated"] |= cut
-                data = raw
-            t = _as_text(data)
-            if t is not None and t != layer and new(t, back := (lambda a, b, at=at: at), at):
-                yield t, back
+            end = BYTES.match(layer, m.start()).end()
+            yield from unpacked(layer[m.start() : end].encode("latin-1"), where(m.start(), end), layer)
+        for m in [*BASE64.finditer(layer), *WRAPPED.finditer(layer)]:
+            # plain words and hex runs decode as well, to what no pattern finds; a run can begin with other
+            # words ('path/', 'name_'), so that its groups of four can begin at any of four places
+            body = BREAK.sub("", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
+            at = where(m.start(), m.end())
+            for i in range(4):
+                yield from unpacked(_unbase64(body[i:]), at, layer)
 
 
 def spans(text: str | None, max_layer: int = MAX_LAYER, max_total: int = MAX_TOTAL) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:

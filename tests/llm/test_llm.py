@@ -1,11 +1,14 @@
 """The llm operators against brute force and other libraries, on small fixtures with awkward rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
 import re
 import textwrap
+import urllib.parse
+import zlib
 from array import array
 
 import numpy as np
@@ -109,6 +112,33 @@ def test_nested_secret(wrap):
     assert "abc123" not in secrets.redacted(text)
 
 
+def b64(x):
+    return base64.b64encode(x).decode()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        b64(SECRET.encode() + b"\0" * 600),
+        b64(gzip.compress(SECRET.encode() + b"\0" * 600)),
+        b64(SECRET.encode("utf-16")),
+        b64(b"\x1b[31m" + SECRET.encode() + b"\xff"),
+        "".join(f"%{x:02x}" for x in gzip.compress(SECRET.encode())),
+        urllib.parse.quote_from_bytes(zlib.compress(SECRET.encode() * 3)),
+        "".join(f"\\x{x:02x}" for x in gzip.compress(SECRET.encode())),
+        b64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+        b64(bz2.compress(b"nothing here") + bz2.compress(SECRET.encode())),
+        *("path/"[i:] + b64(SECRET.encode()) for i in range(4)),
+        "name_" + b64(gzip.compress(SECRET.encode())),
+        textwrap.fill(b64(b"x" * 50 + SECRET.encode()), 20),
+    ],
+)
+def test_hidden_secret(hidden):
+    text = f"é {hidden} end"
+    assert any(s[2] == "assign" for s in secrets.spans(text)[1])
+    assert secrets.redacted(text).startswith("é ") and not any(s[2] == "assign" for s in secrets.spans(secrets.redacted(text))[1])
+
+
 def test_secret_table(spark):
     rows = [(1, None), (2, ""), (3, "TOKEN : short"), (4, "api_key=abcdef AKIA" + "A1" * 8 + " " + "0f" * 12), (5, "%41%zz \\uD800 " + "QUJD" * 10), (6, "ſecret=abcdefgh")]
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base"]) for r in secrets.scan(frame(spark, rows)).collect()}
