@@ -8,8 +8,8 @@ of text is not scanned again (cycle detection). Escapes decode to a layer with a
 back to the layer above; a base64 run is mapped as a whole. A secret found in a layer is reported as the
 smallest stretch of the original text that holds it; spans are code points, end exclusive.
 
-Compressed layers are read up to `max_layer` bytes (a documented bound against bombs: a parameter) and
-a text's layers up to `max_total` characters; a truncated layer is flagged in `truncated`.
+All layers are scanned. Only bombs are cut: a compressed layer at `max_layer` bytes or RATIO times its
+compressed size, whichever is more. Its stretch is flagged in `truncated`, and redact() takes it out whole.
 
 Defined cases: null counts as empty; empty texts have no spans; repeated rows give equal results; spans
 that coincide are reported once per kind; other columns are kept by redact() and ignored by scan().
@@ -45,7 +45,7 @@ BREAK = re.compile(r"[ \t\r\n]+")
 PACKED = re.compile("\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
 BYTES = re.compile("[\x00-\xff]*")
 LEAST = 12  # bytes of the shortest secret; a compressed or nested one is longer
-MAX_LAYER, MAX_TOTAL = 16 << 20, 64 << 20
+MAX_LAYER, RATIO = 16 << 20, 200
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -133,22 +133,16 @@ def _texts(data: bytes) -> list[str]:
     return [*out, data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")] if b"\0" in data else out
 
 
-def layers(text: str, max_layer: int, max_total: int, flags: dict) -> Iterator[tuple[str, object]]:
+def layers(text: str, max_layer: int, cuts: set[tuple[int, int]]) -> Iterator[tuple[str, object]]:
     """(layer, map): all layers below the text itself; map takes a span of the layer to one of the text."""
     work = deque([(text, lambda a, b: (a, b))])
     seen: set[tuple[int, int, bytes]] = set()
-    total = 0
 
     def new(layer: str, where, at: tuple[int, int]) -> bool:
-        nonlocal total
         key = (*at, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if key in seen:
             return False
         seen.add(key)
-        if total + len(layer) > max_total:
-            flags["truncated"] = True
-            return False
-        total += len(layer)
         work.append((layer, where))
         return True
 
@@ -165,9 +159,9 @@ def layers(text: str, max_layer: int, max_total: int, flags: dict) -> Iterator[t
 
     def unpacked(data: bytes, at: tuple[int, int], above: str):
         for _ in range(64):  # compressed streams within each other; each strictly a new layer
-            raw, cut = _inflate(data, max_layer)
+            raw, cut = _inflate(data, max(max_layer, RATIO * len(data)))
             if cut:
-                flags["truncated"] = True
+                cuts.add(at)
             if raw is None:
                 break
             data = raw
@@ -197,15 +191,20 @@ def layers(text: str, max_layer: int, max_total: int, flags: dict) -> Iterator[t
                 yield from unpacked(_unbase64(body[i:]), at, layer)
 
 
-def spans(text: str | None, max_layer: int = MAX_LAYER, max_total: int = MAX_TOTAL) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
-    """(base spans, all spans, truncated), each sorted by start and then kind as listed."""
-    text = text or ""
-    base = base_spans(text)
-    found, flags = set(base), {"truncated": False}
-    for layer, back in layers(text, max_layer, max_total, flags):
+def _spans(text: str, max_layer: int) -> tuple[set[tuple[int, int, str]], set[tuple[int, int, str]], set[tuple[int, int]]]:
+    """(base spans, all spans, stretches of truncated layers)."""
+    base, cuts = set(base_spans(text)), set()
+    found = set(base)
+    for layer, back in layers(text, max_layer, cuts):
         found.update((*back(a, b), kind) for a, b, kind in base_spans(layer))
+    return base, found, cuts
+
+
+def spans(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
+    """(base spans, all spans, truncated), each sorted by start and then kind as listed."""
+    base, found, cuts = _spans(text or "", max_layer)
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(found, key=order), flags["truncated"]
+    return sorted(base, key=order), sorted(found, key=order), bool(cuts)
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
@@ -228,12 +227,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return d.mapInPandas(run, f"n_assign long, n_access long, n_hex long, base string, spans string, truncated boolean, `{id_col}` {kind}")
 
 
-def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
-    """The text with each maximal stretch of spans replaced by the mark."""
+def redacted(text: str | None, mark: str = "[SECRET]", max_layer: int = MAX_LAYER) -> str | None:
+    """The text with each maximal stretch of spans, or of a layer that was not read to its end, replaced by the mark."""
     if not text:
         return text
     out, done = [], 0
-    for a, b, _ in spans(text)[1]:
+    _, found, cuts = _spans(text, max_layer)
+    for a, b in sorted({(a, b) for a, b, _ in found} | cuts):
         if b <= done:
             continue
         if a >= done:

@@ -139,6 +139,17 @@ def test_hidden_secret(hidden):
     assert secrets.redacted(text).startswith("é ") and not any(s[2] == "assign" for s in secrets.spans(secrets.redacted(text))[1])
 
 
+def test_secret_in_long_layers():
+    noise = random.Random(1).randbytes(3_000_000).hex().replace("0", "g")  # packs badly: no bomb
+    hidden = b64(gzip.compress(noise.encode() + b" " + SECRET.encode()))
+    text = f"é {hidden} end"
+    assert [s[:2] for s in secrets.spans(text, max_layer=1000)[1] if s[2] == "assign"] == [(2, 2 + len(hidden))]
+    bomb = b64(gzip.compress(b"x" * 5_000_000 + SECRET.encode()))
+    assert secrets.spans(f"é {bomb} end", max_layer=1000)[2] and secrets.redacted(f"é {bomb} end", max_layer=1000) == "é [SECRET] end"
+    far = "x." * (33 << 20) + " %70" + SECRET[1:]  # over 64 M characters, with one escape
+    assert [s[2] for s in secrets.spans(far)[1]] == ["assign"]
+
+
 def test_secret_table(spark):
     rows = [(1, None), (2, ""), (3, "TOKEN : short"), (4, "api_key=abcdef AKIA" + "A1" * 8 + " " + "0f" * 12), (5, "%41%zz \\uD800 " + "QUJD" * 10), (6, "ſecret=abcdefgh")]
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base"]) for r in secrets.scan(frame(spark, rows)).collect()}
