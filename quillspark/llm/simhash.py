@@ -118,29 +118,44 @@ def links(classes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS
     return in_groups(dealt, ["t", "key", "i", "j"], fn, "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint, component_id) per document row; component_id is the smallest id reachable."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp, root, component_id) per document row: root is the component's smallest fingerprint."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     found = connected_components(written(links(classes, radius), "links"))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = written(rooted.join(least, "root").select("fp", "component_id"), "labels")
-    return fps.join(labels, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = written(rooted.join(least, "root").select("fp", "root", "component_id"), "labels")
+    return fps.join(labels, "fp", "left").select(id_col, "fp", "root", "component_id")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fingerprint, component_id) per document row; component_id is the smallest id reachable."""
+    return labelled(docs, id_col, text_col, radius, shingle).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-copies: of each component the row with the smallest id stays, once if its id
-    is repeated. Rows with a null id stay. Only ids are shuffled unless the list of ids to drop is too
-    long to broadcast; repeated ids are looked for first, as they are rare."""
-    comp = written(components(docs, id_col, text_col).select(id_col, "component_id"), "components")
-    gone = comp.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(small(gone), id_col, "left_anti")
+    """docs without near-copies: of each component one row with the smallest id stays. Rows with a null id
+    stay. Only ids are shuffled unless the list of ids to drop is too long to broadcast; repeated ids are
+    looked for first, as they are rare, and their rows are told apart by fingerprint and text."""
+    comp = written(labelled(docs, id_col, text_col), "components")
+    gone = small(comp.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     again = comp.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
     if again.isEmpty():
-        return kept
+        return docs.join(gone, id_col, "left_anti")
     again = small(again)
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    text = F.col(text_col).cast("string")
+    first = small(comp.filter(F.col(id_col) == F.col("component_id")).select(id_col, "fp", "root").distinct().join(again, id_col, "left_semi").withColumnsRenamed({id_col: "_id", "fp": "_fp2", "root": "_root"}))
+    rows = docs.join(again, id_col, "left_semi").withColumn("_fp", fp_of(text)).withColumn("_h", F.xxhash64(text))
+    rows = written(rows.join(first, (F.col(id_col) == F.col("_id")) & (F.col("_fp") == F.col("_fp2"))), "repeated")
+    least = rows.groupBy("_root").agg(F.min(F.struct("_fp", "_h")).alias("_least")).withColumnRenamed("_root", "_root2")
+    one = rows.join(least, (F.col("_root") == F.col("_root2")) & (F.struct("_fp", "_h") == F.col("_least"))).dropDuplicates(["_root"]).select(*docs.columns)
+    return docs.join(again, id_col, "left_anti").join(gone, id_col, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -379,6 +379,13 @@ def test_keep_one(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["2", "7", "None"]
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, b, c = "a b c d e f", "totally other words here now", "yet more words that stand alone"
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, "one two three four five six"), (7, c), (None, "z")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (7, c), (7, "one two three four five six"), (None, "z")], key=str)
+
+
 # -- 9
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
