@@ -11,20 +11,18 @@ ordered by thread and turn (a parent always stands before its replies).
 Defined cases: null text is empty; empty messages stay; a quote without original is removed and linked
 to nothing; a message never links to itself or a later turn; of equal originals the earliest counts;
 rows that repeat (conversation, turn) stay and are linked alike; null conversations or turns link with
-nothing; other columns are ignored.
+nothing; conversations may have ids of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, written
+from .common import computed, connected_components, table, written
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 SAID = re.compile(r"^(?:on\b.{0,200}\bwrote:|.{0,80}\bwrote:|-+ ?original message ?-+)\s*$", re.I)
@@ -65,22 +63,20 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """Per message: conversation, turn, role, text without quotes, n_quotes, reply_to_conv, reply_to_turn,
     thread (first turn of the thread), seq (place in the reply-ordered conversation, from 1), quoted
     (level, conversation and turn of each level's original)."""
-    src = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                own, quotes = parse(t)
-                keys = {key(own), *(key(x) for x in own.split("\n"))} - {None}
-                asked = [(level, key(q), key(line)) for level, q in quotes for line in q.split("\n") if key(line) is not None]
-                rows.append((own, len(quotes), sorted(keys), [q[0] for q in asked], [q[1] for q in asked], [q[2] for q in asked]))
-            out = b[["conv", "turn", "role"]].astype({"conv": "Int64", "turn": "Int64"})
-            for c, x in zip(("text", "n_quotes", "keys", "level", "whole", "line"), zip(*rows, strict=True), strict=True):
-                out[c] = list(x)
-            yield out
-
-    m = written(src.mapInPandas(run, "conv long, turn long, role string, text string, n_quotes long, keys array<long>, level array<int>, whole array<long>, line array<long>"), "messages")
+    kind = dict(messages.dtypes)[conv_col]
+    made = [("text", "string"), ("n_quotes", "long"), ("keys", "array<long>"), ("level", "array<int>"), ("whole", "array<long>"), ("line", "array<long>")]
+
+    def parsed(texts: list) -> dict:
+        rows = []
+        for t in texts:
+            own, quotes = parse(t)
+            keys = {key(own), *(key(x) for x in own.split("\n"))} - {None}
+            asked = [(level, key(q), key(line)) for level, q in quotes for line in q.split("\n") if key(line) is not None]
+            rows.append((own, len(quotes), sorted(keys), [q[0] for q in asked], [q[1] for q in asked], [q[2] for q in asked]))
+        return {n: [r[i] for r in rows] for i, (n, _) in enumerate(made)}
+
+    keep = [F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role")]
+    m = written(computed(messages, keep, F.col(text_col), parsed, made), "messages")
     have = m.filter("conv is not null and turn is not null").select("conv", "turn", F.explode("keys").alias("key"))
     # only what is quoted somewhere is worth an entry
     q = m.filter("conv is not null and turn is not null and n_quotes > 0").select("conv", "turn", F.explode(F.arrays_zip("level", "whole", "line")).alias("q")).select("conv", "turn", "q.level", "q.whole", "q.line")
@@ -102,7 +98,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     roots = roots.select(F.col("node.c").alias("conv"), F.col("node.t").alias("turn"), F.col("root.t").alias("thread"))
     out = m.select("conv", "turn", "role", "text", "n_quotes").join(reply, ["conv", "turn"], "left").join(roots, ["conv", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
     out = out.withColumn("seq", F.row_number().over(Window.partitionBy("conv").orderBy("thread", "turn", "role", "text")))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "n_quotes", "reply_to_conv", "reply_to_turn", "thread", "seq", F.coalesce("quoted", F.array().cast("array<struct<level:int,conv:bigint,turn:bigint>>")).alias("quoted"))
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "n_quotes", "reply_to_conv", "reply_to_turn", "thread", "seq", F.coalesce("quoted", F.array().cast(f"array<struct<level:int,conv:{kind},turn:bigint>>")).alias("quoted"))
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:

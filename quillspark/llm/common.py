@@ -8,8 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST = 64 << 20  # bytes of a table that small() broadcasts at most
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,11 +149,60 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, to be broadcast if it has at most `rows` rows (of a few narrow columns); else it is joined
-    by a shuffle. df is written first, so that it is counted once."""
+def bytes_of(df: DataFrame) -> int:
+    """About what df takes in memory: fixed parts by the row, strings and lists by their lengths."""
+    size = F.lit(16 + 16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(f.name)) * 2, F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """df, to be broadcast if it takes at most `limit` bytes; else it is joined by a shuffle. df is
+    written first, so that it is made once and its size is known."""
     kept = written(df, "small")
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return F.broadcast(kept) if bytes_of(kept) <= limit else kept
+
+
+def computed(df: DataFrame, keep: list[Column], text: Column, fn: Callable[[list], dict], made: list[tuple[str, str]]) -> DataFrame:
+    """The columns `keep` with the columns `made` (name, kind of ARROW) that fn makes of a batch's texts.
+    What is kept never leaves Arrow, so that nulls, large ids and any type stay as they are."""
+    d = df.select(*keep, text.cast("string").alias("_quill_text"))
+    schema = T.StructType([f for f in d.schema if f.name != "_quill_text"] + T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in made)).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("_quill_text")
+            got = fn(b.column(at).to_pylist())
+            kept = [i for i in range(b.num_columns) if i != at]
+            columns = [b.column(i) for i in kept] + [pa.array(got[n], ARROW[k]) for n, k in made]
+            yield pa.RecordBatch.from_arrays(columns, [b.schema.names[i] for i in kept] + [n for n, _ in made])
+
+    return d.mapInArrow(run, schema)
+
+
+def replaced(df: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFrame:
+    """df with the texts of a column replaced by what fn makes of them, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            yield b.set_column(at, b.schema.field(at), pa.array(fn(b.column(at).to_pylist()), b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def chosen(df: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFrame:
+    """The rows of df for whose texts fn gives true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(fn(b.column(b.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -13,13 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import computed, table
 
 # Spellings that licence matching treats as the same (found, canonical).
 SPELLINGS = [
@@ -108,17 +105,16 @@ def digest(text: str) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, license_id, notices): the licence that the whole text is, and those its lines name."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame(sorted((digest(t + tail), k) for k, t in TEXTS.items() for tail in ("", *TAILS.get(k, ()))), "digest string, license_id string"))
     notice = {digest(t): k for k, ts in NOTICES.items() for t in ts}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t or "" for t in b["_t"]]
-            lines = [[digest(x) for x in t.split("\n") if _LICENSE.search(x)] if _LICENSE.search(t) else [] for t in texts]
-            yield pd.DataFrame({id_col: b[id_col], "digest": [digest(t) for t in texts], "notices": [",".join(sorted({notice[x] for x in found if x in notice})) for found in lines]})
+    def digests(texts: list) -> dict:
+        texts = [t or "" for t in texts]
+        lines = [[digest(x) for x in t.split("\n") if _LICENSE.search(x)] if _LICENSE.search(t) else [] for t in texts]
+        return {"digest": [digest(t) for t in texts], "notices": [",".join(sorted({notice[x] for x in found if x in notice})) for found in lines]}
 
-    d = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {kind}, digest string, notices string")
+    d = computed(docs, [F.col(id_col)], F.col(text_col), digests, [("digest", "string"), ("notices", "string")])
     return d.join(known, "digest", "left").select(id_col, "digest", "license_id", "notices")
 
 

@@ -26,11 +26,10 @@ from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import computed, replaced, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -213,18 +212,16 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base, spans, truncated) per row; the counts are of the base spans."""
-    kind = dict(docs.dtypes)[id_col]
+    made = [*((f"n_{k}", "long") for k in KINDS), ("base", "string"), ("spans", "string"), ("truncated", "boolean")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["_t"]:
-                base, every, cut = spans(t)
-                rows.append((*(sum(s[2] == k for s in base) for k in KINDS), joined(base), joined(every), cut))
-            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans", "truncated"]).assign(**{id_col: b[id_col].to_numpy()})
+    def found(texts: list) -> dict:
+        rows = []
+        for t in texts:
+            base, every, cut = spans(t)
+            rows.append((*(sum(s[2] == k for s in base) for k in KINDS), joined(base), joined(every), cut))
+        return {n: [r[i] for r in rows] for i, (n, _) in enumerate(made)}
 
-    d = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t"))
-    return d.mapInPandas(run, f"n_assign long, n_access long, n_hex long, base string, spans string, truncated boolean, `{id_col}` {kind}")
+    return computed(docs, [F.col(id_col)], F.col(text_col), found, made)
 
 
 def redacted(text: str | None, mark: str = "[SECRET]", max_layer: int = MAX_LAYER) -> str | None:
@@ -244,13 +241,7 @@ def redacted(text: str | None, mark: str = "[SECRET]", max_layer: int = MAX_LAYE
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text replaced; n_chars, where it is there, is counted anew."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[text_col] = [redacted(t) for t in b[text_col]]
-            yield b
-
-    out = docs.mapInPandas(run, docs.schema)
+    out = replaced(docs, text_col, lambda texts: [redacted(t) for t in texts])
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

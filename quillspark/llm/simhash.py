@@ -17,7 +17,6 @@ component unless all of its members are null; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, in_groups, least_labels, small, table, written
+from .common import block_pairs, computed, connected_components, in_groups, least_labels, small, table, written
 
 BITS, RADIUS, SHINGLE, PIVOTS, BLOCK_ROWS = 64, 4, 4, 16, 1024
 
@@ -52,14 +51,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42, chunk:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long): one row per document."""
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["_t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({id_col: b[id_col], "fp": fp})
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {kind}, fp long")
+    fp = lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)}
+    return computed(docs, [F.col(id_col)], F.col(text_col), fp, [("fp", "long")])
 
 
 def block_masks(n: int, radius: int, bits: int = BITS) -> list[int]:

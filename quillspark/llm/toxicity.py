@@ -2,7 +2,7 @@
 
 P(grade >= k) = sigmoid(w.x - t_k) with one weight vector for all ordered thresholds t_1 <= t_2 <= ...;
 expected severity is the sum of these probabilities. Features are the presence of words and of word
-beginnings of 4 and 5 letters. Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low
+beginnings of 4 and 5 letters, those of 5 also by whether they come twice or three times. Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low
 quality. The model is fitted on a bounded, documented sample: per grade the `per_grade` labelled
 documents that are first by a hash of their id. Features whose share differs between toxic and other
 documents of the sample (two-proportion z of at least `min_z`) are kept, at most `max_features` by z; the
@@ -18,6 +18,7 @@ alike; other columns are kept by filtering and ignored by scoring.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +27,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import chosen, computed, table, written
 
-GRADES, PER_GRADE, MIN_Z, MAX_FEATURES = 3, 3000, 4.0, 4096
+GRADES, PER_GRADE, MIN_Z, MAX_FEATURES, REPEATS = 3, 3000, 4.0, 4096, 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    words = set(WORD.findall((text or "").lower()))
-    return {f"w {w}" for w in words} | {f"4 {w[:4]}" for w in words if len(w) >= 4} | {f"5 {w[:5]}" for w in words if len(w) >= 5}
+    every = WORD.findall((text or "").lower())
+    words = set(every)
+    out = {f"w {w}" for w in words} | {f"4 {w[:4]}" for w in words if len(w) >= 4}
+    for head, n in Counter([w[:5] for w in every if len(w) >= 5]).items():
+        out.update(f"5 {head} {k}" for k in range(1, min(n, REPEATS) + 1))
+    return out
 
 
 @dataclass
@@ -80,9 +85,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
     y = labels.select(F.col("doc_id").alias("_id"), grade.alias("grade")).filter("grade is not null and _id is not null").groupBy("_id").agg(F.max("grade").alias("grade"))
     parts = [y.filter(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(per_grade) for g in range(GRADES)]
-    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     # at most GRADES * per_grade pairs of numbers are broadcast
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "_id")
+    sample = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "_id"), "sample")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,25 +119,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, p_toxic, rejected) per row."""
-    kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [model.severity(t) for t in b["_t"]]
-            p = np.array([x[1] for x in got])
-            yield pd.DataFrame({id_col: b[id_col], "severity": [round(x[0], 6) for x in got], "p_toxic": p.round(6), "rejected": p >= 0.5})
+    def graded(texts: list) -> dict:
+        got = [model.severity(t) for t in texts]
+        return {"severity": [round(x[0], 6) for x in got], "p_toxic": [round(x[1], 6) for x in got], "rejected": [x[1] >= 0.5 for x in got]}
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInPandas(run, f"`{id_col}` {kind}, severity double, p_toxic double, rejected boolean")
+    return computed(docs, [F.col(id_col)], F.col(text_col), graded, [("severity", "double"), ("p_toxic", "double"), ("rejected", "boolean")])
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without rows whose text is more likely toxic than not."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[model.severity(t)[1] < 0.5 for t in b[text_col]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    return chosen(docs, text_col, lambda texts: [model.severity(t)[1] < 0.5 for t in texts])
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
