@@ -10,11 +10,14 @@ many to broadcast.
 read(): parses the archives back, checking each response's digest and length. capture_index(): each
 archive's captures, sorted, are one run; runs are dealt by ranges of (URL key, timestamp, id) and each
 range merges its slices of the runs with a tournament tree of losers, so that the rows of the index are
-in global order over its partitions. Hot URLs are split, as timestamp and id belong to the range key.
+in global order over its partitions. Hot URLs are split, as timestamp and id belong to the range key; the
+number of ranges follows from the number of captures, so that what a merge holds is bounded (RANGE rows).
 
-Defined cases: a null html is an empty payload; a null url has the empty URL key; rows that repeat an id
-and a payload are records of their own, of which the first written is the response; other columns are
-ignored.
+Captures are dated by `date_col` (a timestamp, date or ISO string), or all alike where it is not given or null.
+
+Defined cases: a null html is an empty payload; a null url has the empty URL key; ids may be numbers or
+strings and are never converted to floats; rows that repeat the largest id of a payload are all responses;
+a null id is a response unless another page has its payload; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +26,16 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small, table
+from .common import new_path, small, table, written
 
 CAPTURED = "2024-01-01T00:00:00Z"
-PER_FILE = 2000
+PER_FILE, RANGE = 2000, 200_000
 
 
 def digest(payload: bytes) -> str:
@@ -54,43 +57,55 @@ def url_key(url: str | None) -> str:
     return f"{place}){path.rstrip('/') or '/'}" + (f"?{'&'.join(sorted(u.query.lower().split('&')))}" if u.query else "")
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
+def urn(page_id: str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else 'n' + quote(page_id, safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    name = name.removeprefix("<urn:page:").removesuffix(">")
+    return unquote(name[1:]) if name else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """A record without its last line feed."""
     clean = re.sub(r"[\r\n]", " ", url or "")
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
     head += [f"Content-Length: {len(payload)}", "", ""]
     return "\r\n".join(head).encode() + payload + b"\r\n\r"
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CAPTURED, least: int = 0, per_file: int = PER_FILE) -> str:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, least: int = 0, per_file: int = PER_FILE) -> str:
     """Writes the archives and returns their folder."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("body"), F.sha1(payload.cast("binary")).alias("sha"))
+    if date_col is None:
+        date = F.lit(CAPTURED)
+    else:
+        date = F.coalesce(F.date_format(F.to_timestamp(F.col(date_col)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(CAPTURED))
+    ident = F.col(id_col).cast("string").alias("id")
+    p = pages.select(ident, F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("body"), F.sha1(payload.cast("binary")).alias("sha"), date.alias("date"))
     again = pages.select(F.col(id_col).alias("id"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
-    again = small(again.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", "last"))
+    again = small(again.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("last").cast("string").alias("last")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, url, body, last in zip(b["id"], b["url"], b["body"], b["last"], strict=True):
-                i = None if pd.isna(i) else int(i)
-                to = None if pd.isna(last) or int(last) == i else int(last)
-                out.append(record(i, url, bytes(body), to, date))
+            for i, url, body, last, day in zip(b["id"], b["url"], b["body"], b["last"], b["date"], strict=True):
+                out.append(record(i, url, bytes(body), None if last == i else last, day))
             yield pd.DataFrame({"value": out})
 
-    rows = p.join(again, "sha", "left").select("id", "url", "body", "last").mapInPandas(run, "value binary")
+    rows = p.join(again, "sha", "left").select("id", "url", "body", "last", "date").mapInPandas(run, "value binary")
     path = new_path(pages.sparkSession, "warc")
     rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
     return path
@@ -113,14 +128,13 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at += 4
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, id_kind: str = "long") -> DataFrame:
     """(archive, offset, page_id, url, url_key, captured, payload_bytes, payload_digest, record_type, refers_to)."""
     import zlib
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ident = lambda s: int(s.removeprefix("<urn:page:").removesuffix(">")) if s != "<urn:page:>" else None
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
                 rows = []
@@ -129,12 +143,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if h["WARC-Type"] == "response" and (digest(block) != want or len(block) != n):
                         raise ValueError(f"payload of the record at byte {at} of {name} is damaged")
                     to = h.get("WARC-Refers-To")
-                    rows.append((name.rsplit("/", 1)[-1], at, ident(h["WARC-Record-ID"]), h["WARC-Target-URI"], url_key(h["WARC-Target-URI"]), h["WARC-Date"], n, want, h["WARC-Type"], ident(to) if to else None))
-                d = pd.DataFrame(rows, columns=["archive", "offset", "page_id", "url", "url_key", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield d.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((name.rsplit("/", 1)[-1], at, page_of(h["WARC-Record-ID"]), h["WARC-Target-URI"], url_key(h["WARC-Target-URI"]), h["WARC-Date"], n, want, h["WARC-Type"], page_of(to) if to else None))
+                yield pd.DataFrame(rows, columns=["archive", "offset", "page_id", "url", "url_key", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    schema = "archive string, offset long, page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.mapInPandas(run, schema)
+    schema = "archive string, offset long, page_id string, url string, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    return files.mapInPandas(run, schema).withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})
 
 
 class LoserTree:
@@ -174,29 +187,36 @@ class LoserTree:
 
 def capture_index(captures: DataFrame) -> DataFrame:
     """captures in global order of (url_key, captured, page_id) over the partitions of the result."""
-    cols = captures.columns
+    cols, kind = captures.columns, dict(captures.dtypes)["page_id"]
+    number = kind in ("tinyint", "smallint", "int", "bigint")
     order = [cols.index(c) for c in ("url_key", "captured", "page_id", "archive", "offset")]
-    runs = captures.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    kept = written(captures, "captures")
+    runs = kept.repartitionByRange(max(1, -(-kept.count() // RANGE)), "url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    runs = runs.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = cols.index("archive")
         slices: dict[str, list[tuple]] = {}
         for b in batches:
-            for r in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
+            for r in b.itertuples(index=False, name=None):
                 # null ids first; the row follows its key
-                slices.setdefault(r[at], []).append((tuple((r[i] is not None, r[i] if r[i] is not None else 0) for i in order), r))
+                key = [(r[i] is not None, "" if r[i] is None else r[i]) for i in order]
+                if number:
+                    key[2] = (key[2][0], int(key[2][1] or 0))
+                slices.setdefault(r[at], []).append((tuple(key), r))
         out = []
         for _, r in LoserTree([iter(s) for s in slices.values()]):
             out.append(r)
             if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=cols)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=cols)
 
-    return runs.mapInPandas(run, captures.schema)
+    return runs.mapInPandas(run, runs.schema).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    r = capture_index(read(spark, write(table(spark, sf_dir, "pages"))))
-    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset")
+    pages = table(spark, sf_dir, "pages")
+    r = capture_index(read(spark, write(pages), dict(pages.dtypes)["page_id"]))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
