@@ -2,18 +2,21 @@
 
 Every byte that a `length`-byte string covers is removed if the string also starts anywhere else. As in
 bucket-pointer suffix sorting, suffixes begin in buckets of equal q-grams, and buckets are refined by
-the identifiers of buckets at later offsets, on and on, until a bucket is done. Three things make it
-fit for a cluster. Suffixes enter at anchors only: the least q-gram hash (leftmost on ties) of each
-string, which equal strings have at the same place, so nothing is missed with about one anchor per
-hundred bytes. Identifiers are 128-bit hashes, so a bucket needs no rank from a global sort. And a
-bucket whose members all agree over the whole stretch that its anchor stands for, or that has one
-member, is done; only one member of each subgroup of the others goes on.
-
-Levels: the q-gram and the stretch of all strings of an anchor; then blocks of STEP strings, by the
-bytes that all of them share (core) and by their union; then single strings. Results are facts about
-strings of the input, so it does not matter in which order or how often they are found.
-
-Defined cases: null counts as empty; texts under `length` bytes lose nothing; overlaps within a text
+sorting on the identifiers of buckets at later offsets: a place's identifier over 2h bytes is made of
+those over h bytes at the place and h bytes on (Pointers), so each refined identifier serves the next
+refinement. Three things make it fit for a cluster. Suffixes enter at anchors only: the least q-gram
+hash (leftmost on ties) of each string, which equal strings have at the same place, so nothing is missed
+with about one anchor per hundred bytes. Identifiers are 128-bit hashes, so that a bucket has the same
+identifier in every task without a rank from a global sort. And a bucket whose members all agree over
+the whole stretch that its anchor stands for, or that has one member, is done; only one member of each
+subgroup of the others goes on.
+
+Rounds: the q-gram and the stretch of all strings of an anchor; then blocks of STEP strings, by the
+bytes that all of them share (core) and by their union; then single strings. Each is keyed by identifiers
+of q-grams at later offsets alone. Results are facts about strings of the input, so it does not matter in
+which order or how often they are found.
+
+Defined cases: ids of any type stay as they are; null counts as empty; texts under `length` bytes lose nothing; overlaps within a text
 count; rows that repeat an id and a text are repeats of each other; rows with one id and different
 texts stay apart; other columns are ignored.
 """
@@ -25,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import BROADCAST, small, table, written
 
 LENGTH, STEP, CHUNK = 400, 16, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +90,38 @@ def anchors(data: bytes, length: int = LENGTH, start: int = 0) -> Iterator[tuple
         yield held
 
 
-def _digest(x: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(x)
+class Pointers:
+    """Identifiers of the buckets that the places of a text are in."""
+
+    def __init__(self, data: bytes, q: int) -> None:
+        self.data, self.q = data, q
+        self.known: dict[tuple[int, int], bytes] = {}
+
+    def at(self, place: int, level: int = 0) -> bytes:
+        """The bucket of the q * 2 ** level bytes from a place on: q-grams first, then two buckets of the
+        level before, at the place and half the stretch later."""
+        if not level:
+            return xxhash.xxh3_128_digest(self.data[place : place + self.q])
+        got = self.known.get((place, level))
+        if got is None:
+            got = xxhash.xxh3_128_digest(self.at(place, level - 1) + self.at(place + (self.q << (level - 1)), level - 1))
+            self.known[place, level] = got
+        return got
+
+    def stretch(self, lo: int, hi: int) -> bytes:
+        """Names the bytes lo..hi, at least q of them, by the buckets of two places that cover them."""
+        level = ((hi - lo) // self.q).bit_length() - 1
+        return xxhash.xxh3_128_digest(self.at(lo, level) + self.at(hi - (self.q << level), level) + (hi - lo).to_bytes(8, "big"))
+
+
+def pack(m, a, b):
+    """An anchor with the first and last string that it stands for, in one number; of columns too."""
+    return (m * 4096 + (m - a)) * 4096 + (m - b)
+
+
+def unpack(x: int) -> tuple[int, int, int]:
+    m = x >> 24
+    return m, m - (x >> 12 & 4095), m - (x & 4095)
 
 
 COLUMNS = ["core", "whole", "doc", "h", "m", "a", "b"]
@@ -99,20 +133,19 @@ def _emit(rows: list[tuple], force: bool = False) -> Iterator[pd.DataFrame]:
         rows.clear()
 
 
-def _keys(docs: DataFrame, fn, id_kind: str) -> DataFrame:
+def _keys(docs: DataFrame, fn) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for b in batches:
             todo = b["todo"] if "todo" in b else [None] * len(b)
             for doc, h, t, x in zip(b["doc"], b["h"], b["t"], todo, strict=True):
-                data = bytes(t)
-                for core, whole, m, first, last in fn(data, x):
+                for core, whole, m, first, last in fn(bytes(t), None if x is None else x.tolist()):
                     rows.append((core, whole, doc, h, m, first, last))
                     if len(rows) >= 20_000:
                         yield from _emit(rows)
         yield from _emit(rows, True)
 
-    return docs.mapInPandas(run, f"core binary, whole binary, doc {id_kind}, h long, m long, a long, b long")
+    return docs.mapInPandas(run, "core binary, whole binary, doc string, h long, m long, a long, b long")
 
 
 def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,56 +154,59 @@ def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = sub.groupBy("core").agg(F.count("*").alias("subs"), F.sum("n").alias("members")).filter("members > 1")
     sub = written(sub.join(full, "core").select("core", "whole", "n", "subs", "one"), "buckets")
     repeated = rows.join(sub.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("doc", "h", "a", "b")
-    rest = sub.filter("subs > 1").select("one.*").groupBy("doc", "h").agg(F.collect_list(F.struct("m", "a", "b")).alias("todo"))
+    rest = sub.filter("subs > 1").select("one.*").groupBy("doc", "h").agg(F.collect_list(pack(F.col("m"), F.col("a"), F.col("b"))).alias("todo"))
     return repeated, rest
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs: (doc, h, t binary). (doc, h, spans): per text, first and last starts of strings that repeat."""
-    kind = dict(docs.dtypes)["doc"]
+def repeated_strings(docs: DataFrame, length: int = LENGTH, limit: int = BROADCAST) -> DataFrame:
+    """docs: (doc string, h, t binary). (doc, h, spans): per text, strings that repeat, as first * 4096 + how many more follow."""
+    q = length // 2
 
     def whole_anchors(data: bytes, _):
-        q = length // 2
         for m, a, b in anchors(data, length):
-            yield xxhash.xxh3_64_digest(data[m : m + q]), _digest(data[a : b + length]), m, a, b
+            ids = Pointers(data, q)
+            yield ids.at(m)[:8], ids.stretch(a, b + length), m, a, b
 
     def blocks(data: bytes, todo):
-        for x in todo:
-            m, a, b = x["m"], x["a"], x["b"]
+        for m, a, b in map(unpack, todo):
+            ids = Pointers(data, q)
             for k in range((m - b) // STEP, (m - a) // STEP + 1):
                 d0, d1 = k * STEP, k * STEP + STEP - 1
-                core = k.to_bytes(2, "big") + _digest(data[m - d0 : m - d1 + length])
+                core = k.to_bytes(2, "big") + ids.stretch(m - d0, m - d1 + length)
                 lo, hi = m - d1, m - d0
                 inside = lo >= 0 and hi + length <= len(data)
                 # a block that sticks out of its text agrees with none as a whole
-                whole = _digest(data[lo : hi + length]) if inside else None
+                whole = ids.stretch(lo, hi + length) if inside else None
                 # only strings that the anchor stands for, so that each string of a text is met once
                 yield core, whole, m, max(lo, a), min(hi, b)
 
     def single(data: bytes, todo):
-        for x in todo:
-            for p in range(x["a"], x["b"] + 1):
-                yield b"", _digest(data[p : p + length]), p, p, p
+        for _, a, b in map(unpack, todo):
+            ids = Pointers(data, q)
+            for p in range(a, b + 1):
+                yield b"", ids.stretch(p, p + length), p, p, p
 
     def again(rest: DataFrame) -> DataFrame:
-        r = small(rest.withColumnsRenamed({"doc": "doc2", "h": "h2"}), 100_000)
+        r = small(rest.withColumnsRenamed({"doc": "doc2", "h": "h2"}), limit)
         return docs.join(r, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2"))).select("doc", "h", "t", "todo")
 
-    first = written(_keys(docs.filter(F.octet_length("t") >= length), whole_anchors, kind), "anchors")
+    first = written(_keys(docs.filter(F.octet_length("t") >= length), whole_anchors), "anchors")
     found, rest = _buckets(first)
-    second = written(_keys(again(rest), blocks, kind).withColumn("whole", F.coalesce("whole", F.to_binary(F.sha1(F.concat_ws(":", "doc", "h", "m", "a")), F.lit("hex")))), "blocks")
+    second = written(_keys(again(rest), blocks).withColumn("whole", F.coalesce("whole", F.to_binary(F.sha1(F.concat_ws(":", "doc", "h", "m", "a")), F.lit("hex")))), "blocks")
     more, rest = _buckets(second)
-    third = written(_keys(again(rest), single, kind), "strings")
+    third = written(_keys(again(rest), single), "strings")
     twice = third.groupBy("whole").agg(F.count("*").alias("n")).filter("n > 1").select("whole")
     last = third.join(twice, "whole").select("doc", "h", "a", "b")
     every = found.unionByName(more).unionByName(last)
-    return every.groupBy("doc", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return every.groupBy("doc", "h").agg(F.collect_set(F.col("a") * 4096 + F.col("b") - F.col("a")).alias("spans"))
 
 
 def removed_runs(spans, length: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes, end exclusive."""
     out: list[list[int]] = []
-    for a, b in sorted((int(s["a"]), int(s["b"])) for s in spans):
+    for x in sorted(map(int, spans)):
+        a = x >> 12
+        b = a + (x & 4095)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b + length)
         else:
@@ -178,29 +214,30 @@ def removed_runs(spans, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) per row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, limit: int = BROADCAST) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) per row; length is 64 to 4,095. Lists of
+    places that take up to `limit` bytes are broadcast, else texts are shuffled to them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
-    s = small(repeated_strings(d, length).withColumnsRenamed({"doc": "doc2", "h": "h2"}), 100_000)
-    both = d.join(s, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")), "left").select("doc", "t", "spans")
-    kind = dict(docs.dtypes)[id_col]
+    d = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("doc"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
+    s = small(repeated_strings(d.drop("id"), length, limit).withColumnsRenamed({"doc": "doc2", "h": "h2"}), limit)
+    both = d.join(s, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")), "left").select("id", "t", "spans")
+    made = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_kept else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, t, spans in zip(b["doc"], b["t"], b["spans"], strict=True):
-                data = bytes(t)
+            for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 runs = removed_runs(spans, length) if spans is not None else []
                 kept, at = [], 0
                 for x, y in runs:
                     kept.append(data[at:x])
                     at = y
                 kept = b"".join([*kept, data[at:]])
-                rows.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
-            yield pd.DataFrame(rows, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])])
+                rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(made))], [id_col, *(n for n, _ in made)])
 
-    return both.mapInPandas(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    kind = dict(docs.dtypes)[id_col]
+    return both.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
