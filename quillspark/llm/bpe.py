@@ -1,20 +1,24 @@
 """Byte-pair encoding and decoding as streaming transducers.
 
 Encoder.feed takes pieces of a text and returns the ids that no later piece can change; finish returns
-the rest. What is held back is bounded by the pre-tokenizer's and the merge list's lookahead, not by
-the text. Ids of a pre-token are stable once its end is seen; a very long pre-token is encoded symbol by
-symbol (Word): for each position there is exactly one last token of the encoding of the prefix that ends
-there, namely the token whose predecessor there is compatible with it (the two together encode to
-themselves). The paths that lead back from the last `longest` positions cover all continuations, so a
-token is emitted as soon as they agree on it. `lookahead` bounds how far that can be: one merge can only
-touch a later-ranked one that shares a symbol with it, which gives a longest chain of merges.
+the rest. Every pre-token goes through the transducer Word symbol by symbol. For each prefix there is
+exactly one last token of its encoding, namely the token that ends there and is compatible with the last
+token of the prefix before it (the two together encode to themselves), so a state is a last token for
+each of the newest prefixes. `lookahead` is the merge list's sufficient lookahead: one merge can only
+touch a later-ranked one that shares a symbol with it, which gives a longest chain of merges, and a symbol
+that comes later than that chain changes nothing. Tokens that end `lookahead` symbols back are emitted, so
+memory does not grow with the text or the pre-token. What a short pre-token gives is remembered, up to a
+fixed number of them; every text of every length takes this one path.
 
-Decoder.feed maps ids to text: token strings joined by spaces as in a tokenizer without decoder, or,
-with as_text=True, their bytes run through an incremental UTF-8 state machine.
+Held back besides: a stretch that may be a special token's beginning, an apostrophe that may open a
+contraction, and the last character with the combining marks after it. Only a run of combining marks is
+held for as long as it goes on, as canonical order may still move any of them.
+
+Decoder.feed maps ids to text: the tokens' bytes run through an incremental UTF-8 state machine.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; lone surrogates cannot
-occur in Spark strings; unknown ids raise; repeated rows give equal results; other columns are kept by
-encode_documents where they do not clash with its own, which then replace them.
+occur in Spark strings; unknown ids raise; repeated rows give equal results; other columns, of any type,
+are kept by encode_documents where they do not clash with its own, which then replace them.
 """
 
 from __future__ import annotations
@@ -24,27 +28,25 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections import deque
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import computed, table
 
-FILE, WORD_LIMIT, PIECE, CACHE = "word_bpe_49k.json", 256, 1 << 16, 800_000
-NONE, BATCH = 1 << 62, 3 << 20
+FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 400_000, 64
+NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")  # separators that str.split drops, but that are no white space here
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
 
 
+_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(r"[^" + SPACE + r"\p{L}\p{N}]*")
+_WHOLE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[" + SPACE + "]")  # pre-tokens that nothing can make longer
+
+
 def model_path(path: str | None = None) -> str:
     if path:
         return path
@@ -80,8 +82,6 @@ class Model:
         if max(v.values()) > 0xFFFF:
             raise ValueError("vocabularies of over 65,536 tokens need wider pair keys")
         self.ranked = {a << 16 | b: r << 16 | c for (a, b), (r, c) in self.merge.items()}
-        order = sorted(self.ranked)
-        self._keys, self._values = np.array([*order, 1 << 40]), np.array([*(self.ranked[k] for k in order), NONE])
         sym = byte_symbols()
         self.inner = [v[s] for s in sym]
         self.last = [v[s + self.suffix] for s in sym]
@@ -89,11 +89,23 @@ class Model:
         for (a, b), (_, c) in self.merge.items():
             if c not in self.parts and a in self.parts and b in self.parts:
                 self.parts[c] = self.parts[a] + self.parts[b]
-        self.by_parts = {p: t for t, p in self.parts.items()}
+        # symbols as characters: the byte, or 256 + the byte where it ends a word
+        sign = {x: chr(k) for k, x in enumerate([*self.inner, *self.last])}
+        self.by_signs = {"".join([sign[x] for x in p]): t for t, p in self.parts.items()}
+        # lengths of the tokens that end in three symbols, or else in two, longest first
+        tails: dict[str, set[int]] = {}
+        for p in self.by_signs:
+            if len(p) > 1:
+                tails.setdefault(p[-3:], {1}).add(len(p))
+        for p in tails:
+            if p[-2:] in self.by_signs:
+                tails[p].add(2)
+        self.tails = {p: sorted(n, reverse=True) for p, n in tails.items()}
         self.longest = max(map(len, self.parts.values()))
         self.lookahead = self._chain()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.openings = {t[:k] for t in self.special for k in range(1, len(t))}  # what a special token may begin with
 
     def _chain(self) -> int:
         """Symbols within which all merges that can depend on each other lie: along a chain of merges of
@@ -122,151 +134,124 @@ class Model:
                 ranks[i] = get(c << 16 | ids[i + 1], none)
         return ids
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = np.where((a < 0) | (b < 0), 1 << 40, a << 16 | b)
-        at = np.searchsorted(self._keys, key)
-        return np.where(self._keys[at] == key, self._values[at], NONE)
-
-    def merged_many(self, words: list[bytes]) -> list[bytes]:
-        """merged() of many words of about one length at once, a merge of each word per step."""
-        size = np.array([len(w) for w in words])
-        width = int(size.max())
-        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), dtype=np.uint8).reshape(len(words), width)
-        ids = np.array(self.inner)[raw]
-        rows = np.arange(len(words))
-        ids[rows, size - 1] = np.array(self.last)[raw[rows, size - 1]]
-        ids[np.arange(width)[None, :] >= size[:, None]] = -1
-        rank, at = self._rank(ids[:, :-1], ids[:, 1:]), np.arange(width)
-        live, now = rows, ids.copy()
-        while len(live) and now.shape[1] > 1:
-            i = rank.argmin(axis=1)
-            least = rank[np.arange(len(live)), i]
-            go = least < NONE
-            ids[live[~go], : now.shape[1]] = now[~go]
-            live, now, rank, i, least = live[go], now[go], rank[go], i[go, None], least[go]
-            if not len(live):
-                break
-            r, c = np.arange(len(live)), least & 0xFFFF
-            now[r, i[:, 0]] = c
-            now = np.take_along_axis(np.concatenate([now, np.full((len(live), 1), -1)], axis=1), at[None, :] + (at[None, :] > i), axis=1)
-            rank = np.take_along_axis(np.concatenate([rank, np.full((len(live), 1), NONE)], axis=1), at[None, :-1] + (at[None, :-1] >= i), axis=1)
-            i = i[:, 0]
-            left = np.flatnonzero(i > 0)
-            rank[left, i[left] - 1] = self._rank(now[left, i[left] - 1], c[left])
-            right = np.flatnonzero(i < width - 1)
-            rank[right, i[right]] = self._rank(c[right], now[right, i[right] + 1])
-        if len(live):
-            ids[live] = now
-        flat = ids.astype("<u4")
-        return [flat[k, :n].tobytes() for k, n in enumerate((ids >= 0).sum(axis=1))]
-
-    def fits(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self._fits:
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            self._fits[key] = self.merged([*self.parts[a], *self.parts[b]]) == [a, b]
-        return self._fits[key]
-
-    def fits_alone(self, t: int) -> bool:
-        key = (t, -1)
-        if key not in self._fits:
-            self._fits[key] = self.merged(list(self.parts[t])) == [t]
-        return self._fits[key]
+    def fits(self, a: int, t: int) -> bool:
+        """Whether t is its own encoding and, after a (-1 at a word's start), stays apart from it."""
+        if len(self.fit) > 1_000_000:
+            self.fit.clear()
+        out = self.merged(list(self.parts[t])) == [t] and (a < 0 or self.merged([*self.parts[a], *self.parts[t]]) == [a, t])
+        self.fit[a << 16 | t] = out
+        return out
 
 
 class Word:
-    """One pre-token, symbol by symbol; holds the last tokens of the live prefixes only."""
+    """One pre-token, symbol by symbol. Holds the newest symbols with the last tokens of their prefixes, at
+    most 3 * lookahead of them: what lies `lookahead` symbols back is stable and is emitted."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.recent: deque[int] = deque(maxlen=model.longest)  # the last base symbols
-        self.done = 0  # symbols whose tokens are emitted
-        self.at = 0
-        self.lasts: dict[int, int] = {}  # prefix length -> last token of its encoding
-        self.held: int | None = None  # the newest byte: only the end tells which symbol it is
-
-    def _step(self, symbol: int) -> None:
-        self.recent.append(symbol)
-        self.at += 1
-        tail = tuple(self.recent)
-        for n in range(min(len(tail), self.at - self.done), 0, -1):
-            t = self.m.by_parts.get(tail[-n:])
-            if t is None or not self.m.fits_alone(t):
-                continue
-            before = self.at - n
-            if before == self.done:
-                if self.done == 0 or self.m.fits(self.base, t):
-                    self.lasts[self.at] = t
-                    return
-            elif before in self.lasts and self.m.fits(self.lasts[before], t):
-                self.lasts[self.at] = t
-                return
-        raise AssertionError("a prefix without encoding")
-
-    def _path(self, end: int) -> list[int]:
-        out = []
-        while end > self.done:
+        self.signs = ""  # the symbols that are not emitted yet
+        self.lasts = [-1]  # of their prefixes, the last token of the encoding; first that of what is emitted
+        self.held = -1  # the newest byte: only the end tells which symbol it is
+
+    def _run(self, new: str) -> None:
+        m, lasts = self.m, self.lasts
+        s = self.signs = self.signs + new
+        token, tail, fit, fits = m.by_signs.get, m.tails.get, m.fit.get, m.fits
+        for end in range(len(lasts), len(s) + 1):
+            for n in tail(s[max(0, end - 3) : end]) or tail(s[max(0, end - 2) : end]) or (1,):
+                if n > end or (t := token(s[end - n : end])) is None:
+                    continue
+                left = lasts[end - n]
+                ok = fit(left << 16 | t)
+                if ok or (ok is None and fits(left, t)):
+                    lasts.append(t)
+                    break
+            else:
+                raise AssertionError("a prefix without encoding")
+
+    def _path(self) -> list[int]:
+        out, end, parts = [], len(self.signs), self.m.parts
+        while end:
             out.append(self.lasts[end])
-            end -= len(self.m.parts[self.lasts[end]])
+            end -= len(parts[out[-1]])
         return out[::-1]
 
-    def _emit(self, tokens: list[int]) -> list[int]:
-        for t in tokens:
-            self.done += len(self.m.parts[t])
-            self.base = t
-        for k in [k for k in self.lasts if k <= self.done]:
-            del self.lasts[k]
-        return tokens
-
     def feed(self, data: bytes) -> list[int]:
+        if not data:
+            return []
+        new = (chr(self.held) if self.held >= 0 else "") + data[:-1].decode("latin-1")
+        self.held = data[-1]
         out: list[int] = []
-        for b in data:
-            if self.held is not None:
-                self._step(self.m.inner[self.held])
-                if self.at - self.done > 4 * self.m.longest and self.at % 64 == 0:
-                    ends = range(self.at - self.m.longest + 1, self.at + 1)
-                    paths = [self._path(e) for e in ends]
-                    n = 0
-                    while n < min(map(len, paths)) and all(p[n] == paths[0][n] for p in paths):
-                        n += 1
-                    out += self._emit(paths[0][:n])
-            self.held = b
+        far = self.m.lookahead
+        for i in range(0, len(new), far):
+            self._run(new[i : i + far])
+            if len(self.signs) >= 2 * far:
+                cut = 0
+                for t in self._path():
+                    if cut + len(self.m.parts[t]) > len(self.signs) - far:
+                        break
+                    cut += len(self.m.parts[t])
+                    out.append(t)
+                self.signs, self.lasts = self.signs[cut:], self.lasts[cut:]
         return out
 
     def finish(self) -> list[int]:
-        if self.held is None:
+        if self.held < 0:
             return []
-        self._step(self.m.last[self.held])
-        return self._path(self.at)
+        self._run(chr(256 + self.held))
+        return self._path()
+
+
+_seconds: set[str] = set()
+
+
+def starts_fresh(c: str) -> bool:
+    """Whether canonical composition never joins a character, or reorders it, with what stands before it."""
+    if c.isascii():
+        return True
+    if not _seconds:
+        for x in range(0x80, 0x110000):
+            d = unicodedata.decomposition(chr(x)).split(" ")
+            if len(d) == 2 and d[0][0] != "<":
+                _seconds.add(chr(int(d[1], 16)))
+        _seconds.update(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) == 0 and first not in _seconds
 
 
 class Encoder:
+    """feed() takes pieces of a text; finish() ends it. Held between pieces: raw text that a special token or
+    a composed character may still grow from, an apostrophe that may open a contraction, and the open
+    pre-token: its text up to KEPT characters, its transducer beyond."""
+
     def __init__(self, model: Model, cache: int = CACHE) -> None:
         self.m, self.room = model, cache
         self.cache: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.pending = ""
-        self.word: Word | None = None  # an open pre-token of the class `kind`
-        self.kind = ""
+        self.raw = self.mark = self.open = self.kind = ""
+        self.word: Word | None = None
 
-    def _ids(self, pre: str) -> list[int]:
-        data = pre.encode("utf-8")
-        if len(data) > WORD_LIMIT:
+    @property
+    def held(self) -> int:
+        """Characters and tokens held back."""
+        return len(self.raw) + len(self.mark) + len(self.open) + (len(self.word.lasts) if self.word else 0)
+
+    def _ids(self, pre: str) -> bytes:
+        got = self.cache.get(pre)
+        if got is None:
             w = Word(self.m)
-            return w.feed(data) + w.finish()
-        return self.m.merged([*(self.m.inner[b] for b in data[:-1]), self.m.last[data[-1]]])
+            got = self._store(pre, array("I", w.feed(pre.encode()) + w.finish()).tobytes())
+        return got
 
     def _miss(self, chunk: str) -> bytes:
-        pres = [chunk] if chunk.isascii() and chunk.isalpha() else _PRE.findall(chunk)
-        out = b"".join([self.cache.get(p) or self._store(p, array("I", self._ids(p)).tobytes()) for p in pres])
-        return out if len(pres) == 1 else self._store(chunk, out)
+        pres = [chunk] if chunk.isalpha() else _PRE.findall(chunk)
+        return b"".join(map(self._ids, pres))
 
     def _store(self, text: str, ids: bytes) -> bytes:
         """Keeps what short strings give; no text can make the memory grow beyond `room` of them."""
-        if len(text) <= 64:
+        if len(text) <= KEPT:
             if len(self.cache) >= self.room:
                 self.cache.clear()
             self.cache[text] = ids
@@ -277,230 +262,167 @@ class Encoder:
         """NFC, then lower case letter by letter (without the final sigma of str.lower)."""
         return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
 
-    def _chunks(self, text: str) -> list[str]:
-        text = self.normal(text)
-        return text.split() if not _ODD.search(text) else [c for c in _SPACES.split(text) if c]
-
-    def _all(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks; the short pre-tokens not yet known are merged together."""
-        get = self.cache.get
-        parts = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".," and c[:-1].isalpha() else _PRE.findall(c) for c in chunks]
-        flat = [p for ps in parts for p in ps]
-        ids = [get(p) for p in flat]
-        need = sorted({p for p, x in zip(flat, ids, strict=True) if x is None and len(p) <= 64}, key=len)
-        if len(self.cache) + len(need) > self.room:
-            self.cache.clear()
-        known: dict[str, bytes] = {}
-        for k in range(0, len(need), 4096):
-            words = need[k : k + 4096]
-            known.update(zip(words, self.m.merged_many([w.encode() for w in words]), strict=True))
-        if len(known) <= self.room:
-            self.cache.update(known)
-        ids = [known.get(p) or array("I", self._ids(p)).tobytes() if x is None else x for p, x in zip(flat, ids, strict=True)]
-        if len(ids) == len(chunks):
-            return ids
-        out, at = [], 0
-        for ps in parts:
-            n = len(ps)
-            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
-            at += n
-        return out
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """encode() of texts without special tokens and odd separators: Arrow splits them and numbers
-        their distinct chunks, so that Python sees each of these once a batch."""
-        split = pc.utf8_split_whitespace(pa.array([self.normal(t) for t in texts], pa.large_string()))
-        codes = split.values.dictionary_encode()
-        chunks = codes.dictionary.to_pylist()
-        known = self._all(chunks) if "" not in chunks else [b"" if not c else self._all([c])[0] for c in chunks]
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start = np.cumsum(size) - size
-        code = codes.indices.to_numpy(zero_copy_only=False)
-        n = size[code]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(start[code] - before[:-1], n) + np.arange(before[-1])]
-        at = before[split.offsets.to_numpy()]
-        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _plain(self, text: str) -> bytes:
-        """Text that no special token, open pre-token or later piece touches."""
-        chunks = self._chunks(text)
+    def _closed(self, text: str) -> bytes:
+        """Ids of normal text that begins at a pre-token and ends before white space."""
+        chunks = text.split() if not _ODD.search(text) else [c for c in _SPACES.split(text) if c]
         get, miss = self.cache.get, self._miss
         return b"".join([get(c) or miss(c) for c in chunks])
 
-    def _with_special(self, text: str) -> bytes:
-        if not self.m._special or "<|" not in text:
-            return self._plain(text)
+    def _grow(self, text: str) -> bytes:
+        """The open pre-token gets longer."""
+        self.open += text
+        if self.word is None and len(self.open) <= KEPT:
+            return b""
+        self.word = self.word or Word(self.m)
+        data, self.open = self.open.encode(), ""
+        return array("I", self.word.feed(data)).tobytes()
+
+    def _close(self) -> bytes:
+        """The open pre-token ends."""
+        if self.word is not None:
+            out, self.word = array("I", self.word.finish()).tobytes(), None
+            return out
+        pre, self.open = self.open, ""
+        return self._ids(pre) if pre else b""
+
+    def _plain(self, text: str) -> bytes:
+        """Normal text without special tokens; its last pre-token stays open."""
+        text, self.mark = self.mark + text, ""
+        out = []
+        if self.word is not None or self.open:
+            n = (_LETTERS if self.kind == "L" else _OTHERS).match(text).end()
+            out.append(self._grow(text[:n]))
+            if n == len(text):
+                return b"".join(out)
+            out.append(self._close())
+            text = text[n:]
+        cut = max(text.rfind(" "), text.rfind("\n"))
+        if cut >= 0:
+            out.append(self._closed(text[:cut]))
+            text = text[cut + 1 :]
+        found = list(_PRE.finditer(text))
+        # an apostrophe that begins a pre-token may open a contraction with what comes
+        if found and found[-1].end() == len(text):
+            k = 1 if found[-1][0] == "'" else 2 if text[-2:] in ("'r", "'v", "'l") and len(found) > 1 and found[-2][0] == "'" else 0
+            if k:
+                self.mark = text[found[-k].start() :]
+                found = found[:-k]
+            elif not _WHOLE.fullmatch(found[-1][0]):
+                last = found.pop()[0]
+                out += [*(self._ids(x[0]) for x in found), self._grow(last)]
+                self.kind = "L" if _LETTERS.match(last).end() else "O"
+                return b"".join(out)
+        return b"".join([*out, *(self._ids(x[0]) for x in found)])
+
+    def _text(self, text: str) -> bytes:
+        """Raw text that no later piece changes."""
+        if not self.m._special or "<" not in text:
+            return self._plain(self.normal(text))
         out, at = [], 0
         for x in self.m._special.finditer(text):
-            out += [self._plain(text[at : x.start()]), array("I", [self.m.special[x[0]]]).tobytes()]
+            out += [self._plain(self.normal(text[at : x.start()])), self._end(), array("I", [self.m.special[x[0]]]).tobytes()]
             at = x.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join([*out, self._plain(self.normal(text[at:]))])
+
+    def _end(self) -> bytes:
+        """The end of a stretch of text."""
+        mark, self.mark = self.mark, ""
+        return self._close() + b"".join(map(self._ids, _PRE.findall(mark)))
 
     def feed(self, piece: str) -> bytes:
         """Ids, as little-endian 32-bit integers, that are stable after this piece."""
-        self.pending += piece
-        out = b""
-        cut = max(self.pending.rfind(" "), self.pending.rfind("\n"))
-        if cut > 0:
-            head, self.pending = self.pending[:cut], self.pending[cut:]
-            out = self._close(head)
-        if len(self.pending) > PIECE:
-            out += self._open()
-        return out
+        raw = self.raw + piece
+        whole = 0
+        if self.m._special and "<" in raw:
+            whole = max((x.end() for x in self.m._special.finditer(raw)), default=0)
+        cut = len(raw)
+        for k in range(min(len(raw) - whole, max(map(len, self.m.special), default=1) - 1), 0, -1):
+            if raw[-k:] in self.m.openings:
+                cut -= k
+                break
+        cut -= 1
+        while cut > whole and not starts_fresh(raw[cut]):
+            cut -= 1
+        cut = max(cut, whole)
+        self.raw = raw[cut:]
+        return self._text(raw[:cut])
 
     def finish(self) -> bytes:
-        out = self._close(self.pending)
+        out = self._text(self.raw) + self._end()
         self.reset()
         return out
 
-    def _close(self, text: str) -> bytes:
-        """The end of an open pre-token, if there is one, and what follows it."""
-        if not self.word:
-            return self._with_special(text)
-        n = self._run(self.normal(text), self.kind) if not (self.m._special and "<|" in text) else 0
-        if n == 0 and "<|" in text and self.m._special:
-            x = self.m._special.search(text)
-            head = text[: x.start()] if x else text
-            n = self._run(self.normal(head), self.kind)
-            rest = self.normal(head)[n:]
-            word = self.word.feed(self.normal(head)[:n].encode()) + self.word.finish()
-            self.word = None
-            return array("I", word).tobytes() + self._plain(rest) + self._with_special(text[len(head) :])
-        normal = self.normal(text)
-        word = self.word.feed(normal[:n].encode()) + self.word.finish()
-        self.word = None
-        return array("I", word).tobytes() + self._plain(normal[n:])
-
-    @staticmethod
-    def _run(text: str, kind: str) -> int:
-        return regex.match(r"\p{L}*" if kind == "L" else r"[^" + SPACE + r"\p{L}\p{N}]*", text).end()
-
-    def _open(self) -> bytes:
-        """Takes a stable stretch off a run without white space: up to a letter or digit that neither
-        composes with what is before it nor can belong to a special token or a contraction there."""
-        p = self.pending
-        for cut in range(len(p) - 32, max(16, len(p) - 4096), -1):
-            c = p[cut]
-            if ((c.isascii() and c.isalnum()) or "㐀" <= c < "가") and "'" not in p[cut - 3 : cut] and "<" not in p[cut - 16 : cut]:
-                break
-        else:
-            return b""  # held back until such a place comes
-        head, self.pending = p[:cut], p[cut:]
-        out = b""
-        special = list(self.m._special.finditer(head)) if self.m._special and "<|" in head else []
-        if special:
-            out = self._close(head[: special[-1].end()])
-            head = head[special[-1].end() :]
-        normal = self.normal(head)
-        if self.word:
-            n = self._run(normal, self.kind)
-            out += array("I", self.word.feed(normal[:n].encode())).tobytes()
-            if n == len(normal):
-                return out
-            out += array("I", self.word.finish()).tobytes()
-            self.word, normal = None, normal[n:]
-        found = _PRE.findall(normal)
-        if not found:
-            return out
-        *whole, last = found
-        out += b"".join(array("I", self._ids(w)).tobytes() for w in whole)
-        if regex.fullmatch(r"\p{N}", last) or _SPACES.fullmatch(normal[-1]):
-            return out + array("I", self._ids(last)).tobytes()
-        self.kind, self.word = ("L" if regex.match(r"\p{L}", last) else "O"), Word(self.m)
-        return out + array("I", self.word.feed(last.encode())).tobytes()
-
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(text) <= 4 * PIECE:
-            return self._with_special(text)
-        out = [self.feed(text[i : i + PIECE]) for i in range(0, len(text), PIECE)]
+        out = [self.feed(text[i : i + PIECE]) for i in range(0, len(text), PIECE)] if text and len(text) > PIECE else [self._text(text or "")]
         return b"".join([*out, self.finish()])
 
 
-def encoded(enc: Encoder, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """encode() of each text, about BATCH characters of ordinary texts at a time."""
-    batch: list[str] = []
-    room = BATCH
-
-    def flush() -> Iterator[np.ndarray]:
-        if batch:
-            yield from enc.encode_many(batch)
-
-    for t in texts:
-        odd = not t or len(t) > 4 * PIECE or "<|" in t or _ODD.search(t)
-        if batch and (odd or room < len(t)):
-            yield from flush()
-            batch, room = [], BATCH
-        if odd:
-            yield np.frombuffer(enc.encode(t), dtype="<u4")
-        else:
-            batch.append(t)
-            room -= len(t)
-    yield from flush()
-
-
 class Decoder:
+    """Ids to text: the bytes of each token go through an incremental UTF-8 state machine. Tokens are written
+    as they are named with spaces between them, as by a tokenizer without decoder, or with as_text=True as
+    the bytes that they stand for."""
+
     def __init__(self, model: Model, as_text: bool = False) -> None:
-        self.m, self.as_text = model, as_text
-        self.first = True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.between = b"" if as_text else b" "
         back = {c: b for b, c in enumerate(byte_symbols())}
         end = model.suffix
-        self.names = pa.array([model.names.get(i) for i in range(max(model.names) + 1)], pa.string())
         if as_text:
-            self.raw = {i: (t.encode() if t in model.special else bytes(back[c] for c in t.removesuffix(end)) + b" " * t.endswith(end)) for i, t in model.names.items()}
+            self.bytes = {i: (t.encode() if t in model.special else bytes(back[c] for c in t.removesuffix(end)) + b" " * t.endswith(end)) for i, t in model.names.items()}
+        else:
+            self.bytes = {i: t.encode() for i, t in model.names.items()}
+        self.first = True
 
-    def feed(self, ids: np.ndarray) -> str:
+    def feed(self, ids) -> str:
         if not len(ids):
             return ""
-        if self.as_text:
-            return self.utf8.decode(b"".join([self.raw[i] for i in ids]))
-        if int(ids.max()) >= len(self.names) or not self.names[int(ids.max())].is_valid:
-            raise KeyError(int(ids.max()))
-        words = self.names.take(pa.array(ids.astype(np.int64)))
-        out = pc.binary_join(pa.ListArray.from_arrays([0, len(ids)], words), " ")[0].as_py()
+        out = self.between.join([self.bytes[i] for i in ids])
         if not self.first:
-            out = " " + out
+            out = self.between + out
         self.first = False
-        return out
+        return self.utf8.decode(out)
 
     def finish(self) -> str:
         self.first = True
         return self.utf8.decode(b"", True)
 
 
+_coders: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def coders(source: str) -> tuple[Encoder, Decoder]:
+    """The coders of a vocabulary, made once a worker process."""
+    name = hashlib.sha256(source.encode()).hexdigest()
+    if name not in _coders:
+        model = Model(source)
+        _coders[name] = Encoder(model), Decoder(model)
+    return _coders[name]
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """docs' columns `keep` (all others than the text if not given) with n_tokens, ids (or not),
     ids_sha256 and decoded_sha256. The vocabulary travels with the tasks: one file of fixed size."""
+    made = [("n_tokens", "long"), *([("ids", "array<long>")] if with_ids else []), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     own = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own and (keep is not None or c != text_col)]
     with open(model_path(path), encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(source.value)
-        enc, dec = Encoder(model), Decoder(model)
-        for b in batches:
-            rows = []
-            for data in encoded(enc, b["_t"]):
-                ids, data = data, data.tobytes()
-                sha = hashlib.sha256()
-                for i in range(0, len(ids), PIECE):
-                    sha.update(dec.feed(ids[i : i + PIECE]).encode())
-                sha.update(dec.finish().encode())
-                rows.append((len(ids), ids.tolist() if with_ids else None, hashlib.sha256(data).hexdigest(), sha.hexdigest()))
-            out = b.drop(columns="_t")
-            for c, x in zip(own, zip(*rows, strict=True), strict=True):
-                if c != "ids" or with_ids:
-                    out[c] = list(x)
-            yield out
-
-    schema = ", ".join([*kinds, "n_tokens long", *(["ids array<long>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_t")).mapInPandas(run, schema)
+
+    def coded(texts: list) -> dict:
+        enc, dec = coders(source.value)
+        out: dict[str, list] = {n: [] for n in own}
+        for t in texts:
+            data = enc.encode(t)
+            ids = array("I", data).tolist()
+            sha = hashlib.sha256()
+            for i in range(0, len(ids), PIECE):
+                sha.update(dec.feed(ids[i : i + PIECE]).encode())
+            sha.update(dec.finish().encode())
+            for n, x in zip(own, (len(ids), ids if with_ids else None, hashlib.sha256(data).hexdigest(), sha.hexdigest()), strict=True):
+                out[n].append(x)
+        return out
+
+    return computed(docs, [F.col(f"`{c}`") for c in keep], F.col(text_col), coded, made)
 
 
 def op4_bpe_encoding(spark, sf_dir: str) -> DataFrame:

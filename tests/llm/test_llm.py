@@ -227,7 +227,8 @@ def test_bpe_against_library():
     sets = ["abcdefghijklmnop", "aàéñßçÀÉ'", "the in of ", "'sdrevmtl ", "一二三四中文a1", "!?'.-\x1c\x1d\x00", " \t\n　é", "ΣσςİßﬁÁ", "0123½²a"]
     texts = ["", "x" * 3000, "É" * 700] + ["".join(r.choice(r.choice(sets) + r.choice(sets)) for _ in range(r.choice([3, 40, 400]))) for _ in range(300)]
     texts += [t[:9] + "<|endoftext|>" + t[9:] for t in texts[:60]]
-    for t, ids in zip(texts, bpe.encoded(enc, texts), strict=True):
+    for t in texts:
+        ids = np.frombuffer(enc.encode(t), dtype="<u4")
         want = lib.encode(t, add_special_tokens=False).ids
         assert ids.tolist() == want
         assert dec.feed(ids) + dec.finish() == lib.decode(want, skip_special_tokens=False)
@@ -235,18 +236,42 @@ def test_bpe_against_library():
         assert array("I", b"".join([*(enc.feed(t[i : i + 7]) for i in range(0, len(t), 7)), enc.finish()])).tolist() == want
 
 
-def test_bpe_streams_with_bounded_memory():
+@pytest.mark.parametrize("unit", ["!", "é", "thingabc", "\u3042", "-=", "e\u0301"])
+def test_bpe_streams_with_bounded_memory(unit):
+    model = bpe.Model(open(bpe.model_path(), encoding="utf-8").read())
+    enc, most, got = bpe.Encoder(model), 0, b""
+    text = unit * ((1 << 20) // len(unit)) if unit in "!é" else unit * 40_000
+    for i in range(0, len(text), 5000):
+        got += enc.feed(text[i : i + 5000])
+        most = max(most, enc.held)
+    got += enc.finish()
+    assert most <= 3 * model.lookahead
+    tokenizers = pytest.importorskip("tokenizers")
+    assert array("I", got).tolist() == tokenizers.Tokenizer.from_file(bpe.model_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_decodes_bytes():
     model = bpe.Model(open(bpe.model_path(), encoding="utf-8").read())
-    w, most = bpe.Word(model), 0
-    for _ in range(200):
-        w.feed(b"thingabc" * 16)
-        most = max(most, len(w.lasts))
-    assert most <= 400
     plain = bpe.Decoder(model, as_text=True)
     ids = np.frombuffer(bpe.Encoder(model).encode("Café 中文 ok"), dtype="<u4")
     assert "".join([*(plain.feed(ids[i : i + 1]) for i in range(len(ids))), plain.finish()]) == "café 中文 ok "
 
 
+def test_bpe_pieces_of_any_size():
+    tokenizers = pytest.importorskip("tokenizers")
+    model = bpe.Model(open(bpe.model_path(), encoding="utf-8").read())
+    lib, enc, r = tokenizers.Tokenizer.from_file(bpe.model_path()), bpe.Encoder(model), random.Random(5)
+    pool = ["a", "e", "the", "'", "'s", "'re", "'r", "'l", "!", "!!", "\u0301", "é", "e\u0301", "\u1100\u1161\u11a8", "Σ", "İ", "<|endoftext|>", "<|", "|>", "\t", "\u3000", " ", "\n", "12", "中文", "\u0344", "\u09be", "x" * 70, "!" * 70, *model.special]
+    for _ in range(400):
+        t = "".join(r.choice(pool) for _ in range(r.randrange(1, 30)))
+        got, i = b"", 0
+        while i < len(t):
+            j = i + r.randrange(1, 4)
+            got, i = got + enc.feed(t[i:j]), j
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert array("I", got + enc.finish()).tolist() == want == array("I", enc.encode(t)).tolist(), t
+
+
 def test_bpe_table(spark):
     got = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, [(1, None), (2, "hi there"), (3, "")]), keep=["doc_id", "h"]).collect()}
     assert got[1]["n_tokens"] == got[3]["n_tokens"] == 0 and got[2]["n_tokens"] == 2 == len(got[2]["ids"]) and got[2]["h"] == 1
@@ -488,3 +513,72 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == {k for k in range(60) if k % 3} | {102, 103}
     tail = bpe.Encoder(bpe.Model(open(bpe.model_path(), encoding="utf-8").read())).encode("[SECRET]")
     assert array("I", got[102]["ids"]).tobytes().endswith(tail) and got[103]["n_tokens"] == 0
+
+
+# -- all
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_null(spark):
+    rows = [(BIG, "some text here"), (None, "no id"), (3, None), (4, "")]
+    d = frame(spark, rows)
+    found = {
+        "secrets": secrets.scan(d),
+        "bpe": bpe.encode_documents(d, keep=["doc_id"]),
+        "substrings": substrings.remove_repeats(d),
+        "simhash": simhash.components(d),
+        "licenses": licenses.scan(d),
+        "toxicity": toxicity.score(d, toxicity.Model({}, [1.0])),
+        "redact": secrets.redact(d),
+        "clean": toxicity.keep_clean(d, toxicity.Model({}, [1.0])),
+        "decontaminate": decontaminate.report(d, spark.createDataFrame([(1, "zz")], "item_id long, text string")),
+    }
+    for name, df in found.items():
+        assert sorted(map(str, [r["doc_id"] for r in df.collect()])) == sorted(map(str, [x[0] for x in rows])), name
+        assert dict(df.dtypes)["doc_id"] == "bigint"
+    names = spark.createDataFrame([("b/1", "x y z"), (None, "x"), ("a", "x y z")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.components(names).collect()} >= {("a", "a"), ("b/1", "a")}
+    assert {r["doc_id"] for r in substrings.remove_repeats(names).collect()} == {"b/1", "a", None}
+
+
+def test_warc_large_and_text_ids(spark):
+    got = warc.capture_index(warc.read(spark, warc.write(spark.createDataFrame([(2**53 - 1, "u", "same"), (BIG, "u", "same"), (3, "u", "other"), (None, "u", "more"), (9, "u", "twice"), (9, "u", "twice")], "page_id long, url string, html string"))))
+    rows = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect()), key=str)
+    assert rows == sorted([(2**53 - 1, "revisit", BIG), (BIG, "response", None), (3, "response", None), (None, "response", None), (9, "response", None), (9, "response", None)], key=str)
+    pages = spark.createDataFrame([("p 1/ü", None, "same", "2020-01-02 03:04:05"), ("q", "u", "same", None)], "page_id string, url string, html string, seen string")
+    got = {r["page_id"]: r for r in warc.capture_index(warc.read(spark, warc.write(pages, date_col="seen"), "string")).collect()}
+    assert got["p 1/ü"]["refers_to"] == "q" and got["p 1/ü"]["captured"] == "2020-01-02T03:04:05Z" and got["q"]["captured"] == warc.CAPTURED
+    assert warc.capture_index(warc.read(spark, warc.write(pages.limit(0)), "string")).count() == 0
+
+
+def test_repeated_word_is_no_load(spark):
+    d = frame(spark, [(1, "zz " * 20_000), (2, "zz " * 5)])
+    got = {r["doc_id"]: r for r in decontaminate.report(d, spark.createDataFrame([(1, "zz " * 2000), (2, "zz yy")], "item_id long, text string"), near=True).collect()}
+    assert (got[1]["n_hit"], got[1]["items"], got[1]["n_near"]) == (20_000, ["1"], 1) and got[2]["n_hit"] == 0
+
+
+def test_substrings_without_broadcast(spark):
+    rows = corpus(40)
+    got = substrings.remove_repeats(frame(spark, rows), with_kept=False, limit=0).collect()
+    assert sorted(map(tuple, got), key=str) == brute_removed(rows, 400)
+
+
+def test_chat_with_text_conversations(spark):
+    rows = [("c/1", 1, "user", "hello there friend"), ("c/1", 2, "bot", ">> hello there friend\nfine"), (None, 1, "user", None)]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert (got["c/1", 2]["reply_to_conv"], got["c/1", 2]["reply_to_turn"]) == ("c/1", 1) and got[None, 1]["text"] == ""
+
+
+EMPTY = {
+    "op1_benchmark_decontamination": 0, "op2_secret_scans": 0, "op3_embedding_near_dedup": 0, "op4_bpe_encoding": 0, "op5_suffix_array_dedup": 0,
+    "op6_warc": 0, "op7_toxicity": 0, "op8_simhash_near_dedup": 0, "op9_license_scans": 0, "op10_chat_formatting": 0,
+}
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    for name, kinds in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}.items():
+        spark.createDataFrame([], kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    from quillspark.llm import queries
+
+    for name, n in EMPTY.items():
+        assert queries.queries()[name](spark, str(tmp_path)).count() == n, name
