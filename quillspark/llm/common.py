@@ -155,6 +155,8 @@ def bytes_of(df: DataFrame) -> int:
     for f in df.schema:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            size += F.coalesce(F.size(f.name) * 8 + 24, F.lit(0))
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             size += F.coalesce(F.octet_length(F.to_json(f.name)) * 2, F.lit(0))
     return df.agg(F.sum(size)).first()[0] or 0

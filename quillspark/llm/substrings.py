@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, small, table, written
+from .common import BROADCAST, drop, small, table, written
 
 LENGTH, STEP, CHUNK = 400, 16, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,12 +119,18 @@ def pack(m, a, b):
     return (m * 4096 + (m - a)) * 4096 + (m - b)
 
 
+def span(p):
+    """Of a column of packed places: first * 4096 + how many strings follow the first."""
+    before, after = F.shiftright(p, 12).bitwiseAND(F.lit(4095)), p.bitwiseAND(F.lit(4095))
+    return (F.shiftright(p, 24) - before) * 4096 + before - after
+
+
 def unpack(x: int) -> tuple[int, int, int]:
     m = x >> 24
     return m, m - (x >> 12 & 4095), m - (x & 4095)
 
 
-COLUMNS = ["core", "whole", "doc", "h", "m", "a", "b"]
+COLUMNS = ["core", "whole", "doc", "h", "p"]
 
 
 def _emit(rows: list[tuple], force: bool = False) -> Iterator[pd.DataFrame]:
@@ -140,21 +146,21 @@ def _keys(docs: DataFrame, fn) -> DataFrame:
             todo = b["todo"] if "todo" in b else [None] * len(b)
             for doc, h, t, x in zip(b["doc"], b["h"], b["t"], todo, strict=True):
                 for core, whole, m, first, last in fn(bytes(t), None if x is None else x.tolist()):
-                    rows.append((core, whole, doc, h, m, first, last))
+                    rows.append((core, whole, doc, h, pack(m, first, last)))
                     if len(rows) >= 20_000:
                         yield from _emit(rows)
         yield from _emit(rows, True)
 
-    return docs.mapInPandas(run, "core binary, whole binary, doc string, h long, m long, a long, b long")
+    return docs.mapInPandas(run, "core binary, whole binary, doc string, h long, p long")
 
 
 def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated, open): strings a..b of rows that are known to repeat; per text, members of unfinished buckets."""
-    sub = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "m", "a", "b")).alias("one"))
+    """(repeated, open): places of rows whose strings are known to repeat; per text, members of unfinished buckets."""
+    sub = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "p")).alias("one"))
     full = sub.groupBy("core").agg(F.count("*").alias("subs"), F.sum("n").alias("members")).filter("members > 1")
     sub = written(sub.join(full, "core").select("core", "whole", "n", "subs", "one"), "buckets")
-    repeated = rows.join(sub.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("doc", "h", "a", "b")
-    rest = sub.filter("subs > 1").select("one.*").groupBy("doc", "h").agg(F.collect_list(pack(F.col("m"), F.col("a"), F.col("b"))).alias("todo"))
+    repeated = written(rows.join(sub.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("doc", "h", span(F.col("p")).alias("span")), "repeated")
+    rest = sub.filter("subs > 1").select("one.*").groupBy("doc", "h").agg(F.collect_list("p").alias("todo"))
     return repeated, rest
 
 
@@ -192,13 +198,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, limit: int = BROADCA
 
     first = written(_keys(docs.filter(F.octet_length("t") >= length), whole_anchors), "anchors")
     found, rest = _buckets(first)
-    second = written(_keys(again(rest), blocks).withColumn("whole", F.coalesce("whole", F.to_binary(F.sha1(F.concat_ws(":", "doc", "h", "m", "a")), F.lit("hex")))), "blocks")
+    second = written(_keys(again(rest), blocks).withColumn("whole", F.coalesce("whole", F.to_binary(F.sha1(F.concat_ws(":", "doc", "h", "p")), F.lit("hex")))), "blocks")
+    drop(first)
     more, rest = _buckets(second)
     third = written(_keys(again(rest), single), "strings")
+    drop(second)
     twice = third.groupBy("whole").agg(F.count("*").alias("n")).filter("n > 1").select("whole")
-    last = third.join(twice, "whole").select("doc", "h", "a", "b")
+    last = third.join(twice, "whole").select("doc", "h", span(F.col("p")).alias("span"))
     every = found.unionByName(more).unionByName(last)
-    return every.groupBy("doc", "h").agg(F.collect_set(F.col("a") * 4096 + F.col("b") - F.col("a")).alias("spans"))
+    return every.groupBy("doc", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def removed_runs(spans, length: int) -> list[tuple[int, int]]:
