@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COVERAGE_SUFFIXES, FAMILY_SUFFIXES, stem, tokens
+from ..functions.text import coverage_stem, family_stem, tokens
 
 
 # -- tokens and vocabularies
@@ -47,23 +47,27 @@ def set_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def beyond_vocabulary(docs: DataFrame, key: str, text: str, allowed: DataFrame) -> DataFrame:
     """(key, n_beyond, n_words): distinct words of a text that are not allowed."""
-    w = token_rows(docs, [key], text).distinct()
+    # distinct inside the row; the counts are combined before the shuffle
+    w = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
     marked = w.join(allowed.select("word", F.lit(1).alias("known")), "word", "left")
     return marked.groupBy(key).agg(F.count("*").alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_beyond"))
 
 
-def coverage(tokens_n: DataFrame, vocabulary: DataFrame, least: int = 2) -> DataFrame:
-    """Of tokens seen at least `least` times, the share that is in the vocabulary itself or by its stem."""
-    t = tokens_n.filter(F.col("n") >= least).withColumn("stem", stem(F.col("word"), COVERAGE_SUFFIXES, 3))
-    d = t.join(vocabulary.select("word", F.lit(1).alias("direct")), "word", "left").join(vocabulary.select(F.col("word").alias("stem"), F.lit(1).alias("by_stem")), "stem", "left")
+def coverage(tokens_n: DataFrame, vocabulary: DataFrame, least: int = 2, letters: int = 3) -> DataFrame:
+    """V08. Of tokens of `letters` letters and more that come at least `least` times, those in the vocabulary
+    and those whose stem is the stem of one of its words."""
+    t = tokens_n.filter((F.col("n") >= least) & (F.length("word") >= letters)).withColumn("stem", coverage_stem(F.col("word")))
+    known = vocabulary.select("word", F.lit(1).alias("direct")).distinct()
+    stems = vocabulary.select(coverage_stem(F.col("word")).alias("stem"), F.lit(1).alias("by_stem")).distinct()
+    d = t.join(known, "word", "left").join(stems, "stem", "left")
     hit = F.col("direct").isNotNull() | F.col("by_stem").isNotNull()
-    return d.agg(F.count("*").alias("tokens"), F.count_if(F.col("direct").isNotNull()).alias("direct"), F.count_if(hit).alias("covered"), F.round(F.count_if(hit) / F.count("*"), 6).alias("share"))
+    return d.agg(F.count("*").alias("tokens"), F.count_if(F.col("direct").isNotNull()).alias("direct"), F.count_if(hit).alias("covered"), F.round(F.count_if(hit) / F.greatest(F.lit(1), F.count("*")), 6).alias("share"))
 
 
 def word_families(words: DataFrame) -> DataFrame:
-    """(src, dst, weight): ordered pairs of words with one stem. Output grows with the square of a family,
+    """G06 (src, dst, weight): ordered pairs of words with one stem. Output grows with the square of a family,
     which is what the graph asks for; families are a handful of inflections."""
-    s = words.withColumn("stem", stem(F.col("word"), FAMILY_SUFFIXES, 4)).filter("stem is not null")
+    s = words.withColumn("stem", family_stem(F.col("word"))).filter("stem <> ''")
     return s.alias("a").join(s.alias("b"), "stem").filter("a.word <> b.word").select(F.col("a.word").alias("src"), F.col("b.word").alias("dst"), F.lit(0.8).alias("weight"))
 
 
@@ -77,14 +81,19 @@ def fuzzy_fixes(unknown: DataFrame, known: DataFrame, limit: int = 2) -> DataFra
 
 
 def ngram_overlap(docs: DataFrame, key: str, passages: DataFrame, other: str, text: str = "text", n: int = 10) -> DataFrame:
-    """(other, key): pairs that share an n-gram of tokens. Hashes are joined; equal hashes are compared."""
+    """J20 (other, key): pairs that share an n-gram of tokens. The passages' n-grams are hashed; the documents'
+    are too, and only those with a hash among the passages' are spelt out, compared and made distinct."""
 
     def grams(df: DataFrame, k: str) -> DataFrame:
         t = df.select(k, tokens(F.col(text)).alias("t")).filter(F.size("t") >= n)
-        g = t.select(k, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).alias("g"))
-        return g.distinct()
+        # hashes of words are combined by position, so that no n-gram is built as a string before it may match
+        codes = F.transform("t", lambda w: F.xxhash64(w))
+        rows = t.select(k, "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.slice(codes, i, n)))).alias("i", "h"))
+        return rows.select(k, "h", F.slice("t", F.col("i") + 1, n).alias("g"))
 
-    return grams(docs, key).join(grams(passages, other), "g").select(other, key).distinct()
+    small = grams(passages, other).distinct()
+    found = grams(docs, key).join(small.withColumnsRenamed({"h": "h2", "g": "g2"}), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    return found.select(other, key).distinct()
 
 
 # -- aggregates
@@ -102,11 +111,13 @@ def dense_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Order statistics by index: median x[n div 2], quartiles x[n div 4] and x[3n div 4], from 0."""
+    """A15. Order statistics by index: median x[n div 2], quartiles x[n div 4] and x[3n div 4], from 0. Equal
+    values are counted first, so that a group's sort is over its distinct values and not over its rows."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda num, den: F.max(F.when(F.col("i") == F.floor(F.col("n") * num / den), F.col("v")))
-    return d.groupBy(*keys).agg(F.round(F.avg("v"), 6).alias("mean"), pick(1, 2).alias("median"), pick(1, 4).alias("p25"), pick(3, 4).alias("p75"))
+    d = n.select("*", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w).alias("n"))
+    pick = lambda num, den: F.max(F.when((F.floor(F.col("n") * num / den) < F.col("upto")) & (F.floor(F.col("n") * num / den) >= F.col("upto") - F.col("c")), F.col("v")))
+    return d.groupBy(*keys).agg(F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), pick(1, 2).alias("median"), pick(1, 4).alias("p25"), pick(3, 4).alias("p75"))
 
 
 def pair_cooccurrence(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -136,6 +147,14 @@ def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return g.select(*keys, F.when(few, 0.0).otherwise(F.coalesce("s", F.lit(0.0))).alias("slope"), F.when(few, 0.0).otherwise(F.coalesce("i", "m")).alias("intercept"))
 
 
+def year_weight(year: Column, latest: int) -> Column:
+    """M07. 5, 4, 3, 2 and 1.5 for the five latest years, else 0.5."""
+    out = F.when(year == latest, 5.0)
+    for back, w in ((1, 4.0), (2, 3.0), (3, 2.0), (4, 1.5)):
+        out = out.when(year == latest - back, w)
+    return out.otherwise(0.5)
+
+
 def wls_slope(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
     s = lambda c: F.sum(F.col(w) * c)
     mean = df.groupBy(*keys).agg((s(F.col(x)) / F.sum(w)).alias("mx"), (s(F.col(y)) / F.sum(w)).alias("my"))
@@ -153,9 +172,11 @@ def category_share_trend(df: DataFrame, year: str, category: str, flat: float =
 
 
 def rising_words(freq: DataFrame, recent: int = 3, most: int = 20) -> DataFrame:
-    """freq (word, year, n). Words with 3 or more in the last `recent` years and at most 1 before, by ratio."""
-    rank = freq.select("year").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.desc("year"))))  # over years
-    f = freq.join(rank, "year").groupBy("word").agg(F.sum(F.when(F.col("r") <= recent, F.col("n")).otherwise(0)).alias("recent"), F.sum(F.when(F.col("r") > recent, F.col("n")).otherwise(0)).alias("older"))
+    """M04. freq (word, year, n). Words with 3 or more in the last `recent` years and at most 1 before, by
+    what they have there; none unless there are 2 * recent years."""
+    years = freq.select("year").distinct()
+    rank = years.withColumn("r", F.row_number().over(Window.orderBy(F.desc("year")))).crossJoin(years.agg(F.count("*").alias("years")))  # over years
+    f = freq.join(rank.filter(F.col("years") >= 2 * recent), "year").groupBy("word").agg(F.sum(F.when(F.col("r") <= recent, F.col("n")).otherwise(0)).alias("recent"), F.sum(F.when(F.col("r") > recent, F.col("n")).otherwise(0)).alias("older"))
     f = f.filter("recent >= 3 and older <= 1").withColumn("ratio", F.round((F.col("recent") + 1) / (F.col("older") + 1), 2))
     return f.orderBy(F.desc("recent"), "word").limit(most)
 
@@ -195,9 +216,10 @@ def neighbours(edges: DataFrame, node: str, direction: str = "both", relation: s
     return both.orderBy(F.desc_nulls_last("weight"), "id", "relation", "direction").limit(limit)
 
 
-def expand(edges: DataFrame, start: str, depth: int, relations: list[str] | None = None) -> DataFrame:
-    """(id, depth): nodes within `depth` steps in either direction, at their least depth. A bounded number
-    of joins of the frontier with the edges; the frontier is a DataFrame, never collected."""
+def expand(edges: DataFrame, start: str, depth: int, relations: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
+    """G08 (id, depth): nodes within `depth` steps in either direction, at their least depth, the nearest
+    `max_nodes` of them by (depth, id) if given. A bounded number of joins of the frontier with the edges;
+    the frontier is a DataFrame, never collected."""
     e = edges if relations is None else edges.filter(F.col("relation").isin(relations))
     both = e.select(F.col("src_id").alias("id"), F.col("dst_id").alias("to")).unionByName(e.select(F.col("dst_id").alias("id"), F.col("src_id").alias("to"))).distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
@@ -205,7 +227,16 @@ def expand(edges: DataFrame, start: str, depth: int, relations: list[str] | None
     for d in range(1, depth + 1):
         front = front.join(both, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(front)
-    return seen
+    return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame, relations: list[str] | None = None) -> DataFrame:
+    """Edges both of whose ends are among nodes (id): what expand() has reached, each edge once."""
+    e = edges if relations is None else edges.filter(F.col("relation").isin(relations))
+    ids = nodes.select("id")
+    for end in ("src_id", "dst_id"):
+        e = e.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return e.select(edges.columns).dropDuplicates(["src_id", "dst_id", "relation"])
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -241,11 +272,18 @@ def weakness(answers: DataFrame, least: int = 3, gate: float = 0.40, full: int =
 
 
 def compose(bank: DataFrame, spec: DataFrame, seed: int = 42) -> DataFrame:
-    """bank (item, kind), spec (kind, want): per kind the first `want` items in seeded hash order."""
+    """Q04. bank (item, kind), spec (kind, want): per kind the first `want` items in seeded hash order."""
     r = bank.join(spec, "kind").withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("item").cast("string")), 256), "item")))
     return r.filter("seq <= want").select("kind", "item", "seq")
 
 
+def shortfalls(bank: DataFrame, spec: DataFrame) -> DataFrame:
+    """Q04 (kind, want, got, short): what a composition of spec from bank lacks."""
+    have = bank.groupBy("kind").agg(F.count("*").alias("have"))
+    got = F.least("want", F.coalesce("have", F.lit(0)))
+    return spec.join(have, "kind", "left").select("kind", "want", got.alias("got"), (F.col("want") - got).alias("short"))
+
+
 def rarity(tags: DataFrame) -> DataFrame:
     """tags (item, tag). (item, rarity): the largest ln(1 + items / items with the tag) of its tags."""
     total = tags.agg(F.countDistinct("item").alias("total"))

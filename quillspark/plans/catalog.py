@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import COVERAGE_SUFFIXES, FAMILY_SUFFIXES, length_bucket, stem, strip_html
+from ..functions.text import coverage_stem, family_stem, length_bucket, strip_html
 from ..operators import core as O
 from .registry import register
 
@@ -33,8 +33,9 @@ def words(spark, d, name):
     return O.word_set(t(spark, d, name), "text")
 
 
-def sql_stem(suffixes, least):
-    return "case " + " ".join(f"when word like '%{s}' and length(word) - {len(s)} >= {least} then substr(word, 1, length(word) - {len(s)})" for s in suffixes) + " end"
+# The stemmers in SQL, written out: longest suffix first; family stems keep short words as '', others as they are.
+FAMILY_SQL = "case when regexp_matches(word, '^.{4,}(tion|sion|ness|able|less|ment)$') then substr(word, 1, length(word) - 4) when regexp_matches(word, '^.{4,}(ing|ful|ity|ive|ous)$') then substr(word, 1, length(word) - 3) when regexp_matches(word, '^.{4,}(ed|ly|er|or|ic|al|en)$') then substr(word, 1, length(word) - 2) when length(word) >= 4 then word else '' end"
+COVERAGE_SQL = "case when regexp_matches(word, '^.{3,}(tion|sion|ness|able|less|ment)$') then substr(word, 1, length(word) - 4) when regexp_matches(word, '^.{3,}(ing|ful|ity|ive|ous)$') then substr(word, 1, length(word) - 3) when regexp_matches(word, '^.{3,}(ed|ly|er|or|ic|al|en|es)$') then substr(word, 1, length(word) - 2) when regexp_matches(word, '^.{3,}s$') then substr(word, 1, length(word) - 1) else word end"
 
 
 # -- scans, filters, scalar functions
@@ -81,14 +82,14 @@ def c02(s, d):
     return t(s, d, "documents").select("doc_id", F.size(O.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@register("c04_family_stems", f"with {CURR} select word, {sql_stem(FAMILY_SUFFIXES, 4)} as stem from curr")
+@register("c04_family_stems", f"with {CURR} select word, {FAMILY_SQL} as stem from curr")
 def c04(s, d):
-    return words(s, d, "benchmark").select("word", stem(F.col("word"), FAMILY_SUFFIXES, 4).alias("stem"))
+    return words(s, d, "benchmark").select("word", family_stem(F.col("word")).alias("stem"))
 
 
-@register("c05_coverage_stems", f"with {TEXTB} select word, {sql_stem(COVERAGE_SUFFIXES, 3)} as stem from textb")
+@register("c05_coverage_stems", f"with {TEXTB} select word, {COVERAGE_SQL} as stem from textb")
 def c05(s, d):
-    return words(s, d, "conversations").select("word", stem(F.col("word"), COVERAGE_SUFFIXES, 3).alias("stem"))
+    return words(s, d, "conversations").select("word", coverage_stem(F.col("word")).alias("stem"))
 
 
 @register("c12_difficulty", "select doc_id, case when length(text) < 100 then 'easy' when length(text) < 400 then 'mid' else 'hard' end as difficulty from documents")
@@ -142,10 +143,10 @@ def j15(s, d):
     return t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("customers"))
 
 
-@register("j19_fuzzy_fixes", f"with {CURR}, tok as (select word from (select {TOK} as word from documents where lang = 'en') group by word having count(*) >= 5), unk as (select * from tok where length(word) >= 4 and word not in (select word from curr)), pairs as (select u.word, c.word as fix, levenshtein(u.word, c.word) as dist from unk u join curr c on substr(u.word,1,1) = substr(c.word,1,1) and abs(length(u.word) - length(c.word)) <= 1 where levenshtein(u.word, c.word) <= 2) select word, fix, dist from (select *, row_number() over (partition by word order by dist, fix) as r from pairs) where r = 1")
+@register("j19_fuzzy_fixes", f"with {CURR}, tok as (select word from (select {TOK} as word from documents) group by word having count(*) >= 5), unk as (select * from tok where length(word) >= 4 and word not in (select word from curr)), pairs as (select u.word, c.word as fix, levenshtein(u.word, c.word) as dist from unk u join curr c on substr(u.word,1,1) = substr(c.word,1,1) and abs(length(u.word) - length(c.word)) <= 1 where levenshtein(u.word, c.word) <= 2) select word, fix, dist from (select *, row_number() over (partition by word order by dist, fix) as r from pairs) where r = 1")
 def j19(s, d):
     known = words(s, d, "benchmark")
-    tok = O.token_frequency(t(s, d, "documents").filter("lang = 'en'"), [], "text", 5).filter(F.length("word") >= 4).join(known, "word", "left_anti")
+    tok = O.token_frequency(t(s, d, "documents"), [], "text", 5).filter(F.length("word") >= 4).join(known, "word", "left_anti")
     return O.fuzzy_fixes(tok.select("word"), known).select("word", "fix", F.col("dist").cast("long").alias("dist"))
 
 
@@ -184,12 +185,12 @@ def v05(s, d):
     return first.join(words(s, d, "benchmark"), "word", "full").select("word", F.coalesce("p.conv_id", F.lit(99)).cast("long").alias("volume"), F.col("p.turn").alias("unit"))
 
 
-@register("v08_token_coverage", f"with {CURR}, tk as (select word, count(*) as n from (select {TOK} as word from documents) group by word having count(*) >= 2), st as (select word, {sql_stem(COVERAGE_SUFFIXES, 3)} as stem from tk), x as (select word in (select word from curr) as direct, coalesce(stem in (select word from curr), false) as by_stem from st) select count(*) as tokens, count(*) filter (direct) as direct, count(*) filter (direct or by_stem) as covered, round(count(*) filter (direct or by_stem) / count(*), 6) as share from x")
+@register("v08_token_coverage", f"with {CURR}, {TEXTB}, learn as (select word from curr union select word from textb), stems as (select distinct {COVERAGE_SQL} as stem from learn), tk as (select word, count(*) as n from (select {TOK} as word from documents) group by word having count(*) >= 2 and length(word) >= 3), x as (select word in (select word from learn) as direct, {COVERAGE_SQL} in (select stem from stems) as by_stem from tk) select count(*) as tokens, count(*) filter (direct) as direct, count(*) filter (direct or by_stem) as covered, round(count(*) filter (direct or by_stem) / count(*), 6) as share from x")
 def v08(s, d):
-    return O.coverage(O.token_frequency(t(s, d, "documents"), [], "text"), words(s, d, "benchmark"))
+    return O.coverage(O.token_frequency(t(s, d, "documents"), [], "text"), words(s, d, "benchmark").union(words(s, d, "conversations")).distinct())
 
 
-@register("g06_word_families", f"with {CURR}, st as (select word, {sql_stem(FAMILY_SUFFIXES, 4)} as stem from curr) select a.word as src, b.word as dst, 0.8::double as weight from st a join st b on a.stem = b.stem and a.word <> b.word")
+@register("g06_word_families", f"with {CURR}, st as (select word, {FAMILY_SQL} as stem from curr) select a.word as src, b.word as dst, 0.8::double as weight from st a join st b on a.stem = b.stem and a.stem <> '' and a.word <> b.word")
 def g06(s, d):
     return O.word_families(words(s, d, "benchmark"))
 
@@ -290,7 +291,7 @@ def m03(s, d):
     return y.agg(F.round(F.regr_slope("n", "year"), 4).alias("slope"), F.sum("n").alias("tokens"))
 
 
-@register("m04_rising_words", f"with {FREQ}, yr as (select year, row_number() over (order by year desc) as r from (select distinct year from freq)), x as (select word, cast(sum(case when r <= 3 then n else 0 end) as bigint) as recent, cast(sum(case when r > 3 then n else 0 end) as bigint) as older from freq join yr using (year) group by word) select word, recent, older, round((recent + 1) / (older + 1), 2) as ratio from x where recent >= 3 and older <= 1 order by recent desc, word limit 20")
+@register("m04_rising_words", f"with {FREQ}, yr as (select year, row_number() over (order by year desc) as r, count(*) over () as years from (select distinct year from freq)), x as (select word, cast(sum(case when r <= 3 then n else 0 end) as bigint) as recent, cast(sum(case when r > 3 then n else 0 end) as bigint) as older from freq join yr using (year) where years >= 6 group by word) select word, recent, older, round((recent + 1) / (older + 1), 2) as ratio from x where recent >= 3 and older <= 1 order by recent desc, word limit 20")
 def m04(s, d):
     return O.rising_words(O.token_frequency(exams(s, d), ["year"], "text"))
 
@@ -300,9 +301,9 @@ def m05(s, d):
     return O.token_frequency(exams(s, d), ["year"], "text").groupBy("word").agg(F.sum("n").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year")).orderBy(F.desc("n"), "word").limit(50)
 
 
-@register("m07_weighted_slope", "with x as (select o_orderpriority as c, year(o_orderdate) as y, avg(o_totalprice) as p, case when year(o_orderdate) >= 2000 then 3.0 else 1.0 end as w from orders group by all), m as (select c, sum(w*y)/sum(w) as my, sum(w*p)/sum(w) as mp from x group by c) select x.c, round(sum(w*(y-my)*(p-mp))/sum(w*(y-my)*(y-my)), 4) as slope from x join m on m.c = x.c group by x.c")
+@register("m07_weighted_slope", "with x as (select o_orderpriority as c, year(o_orderdate) as y, avg(o_totalprice) as p, case year(o_orderdate) when 1998 then 5.0 when 1997 then 4.0 when 1996 then 3.0 when 1995 then 2.0 when 1994 then 1.5 else 0.5 end as w from orders group by all), m as (select c, sum(w*y)/sum(w) as my, sum(w*p)/sum(w) as mp from x group by c) select x.c, round(sum(w*(y-my)*(p-mp))/sum(w*(y-my)*(y-my)), 4) as slope from x join m on m.c = x.c group by x.c")
 def m07(s, d):
-    x = t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("c"), F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("p")).withColumn("w", F.when(F.col("y") >= 2000, 3.0).otherwise(1.0))
+    x = t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("c"), F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("p")).withColumn("w", O.year_weight(F.col("y"), 1998))
     return O.wls_slope(x, ["c"], "y", "p", "w").withColumn("slope", F.round("slope", 4))
 
 
