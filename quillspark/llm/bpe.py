@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import computed, table
 
-FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 400_000, 64
+FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 200_000, 64
 NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
@@ -78,15 +78,15 @@ class Model:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         v = self.vocab
         pairs = [(p[0], p[1]) if isinstance(p, list) else tuple(p.split(" ")) for p in m["merges"]]
-        self.merge = {(v[a], v[b]): (r, v[a + b]) for r, (a, b) in enumerate(pairs)}
+        merges = [(v[a], v[b], v[a + b]) for a, b in pairs]
         if max(v.values()) > 0xFFFF:
             raise ValueError("vocabularies of over 65,536 tokens need wider pair keys")
-        self.ranked = {a << 16 | b: r << 16 | c for (a, b), (r, c) in self.merge.items()}
+        self.ranked = {a << 16 | b: r << 16 | c for r, (a, b, c) in enumerate(merges)}
         sym = byte_symbols()
         self.inner = [v[s] for s in sym]
         self.last = [v[s + self.suffix] for s in sym]
         self.parts = {x: (x,) for x in [*self.inner, *self.last]}  # token -> its base symbols
-        for (a, b), (_, c) in self.merge.items():
+        for a, b, c in merges:
             if c not in self.parts and a in self.parts and b in self.parts:
                 self.parts[c] = self.parts[a] + self.parts[b]
         # symbols as characters: the byte, or 256 + the byte where it ends a word
@@ -102,16 +102,16 @@ class Model:
                 tails[p].add(2)
         self.tails = {p: sorted(n, reverse=True) for p, n in tails.items()}
         self.longest = max(map(len, self.parts.values()))
-        self.lookahead = self._chain()
+        self.lookahead = self._chain(merges)
         self.fit: dict[int, bool] = {}
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.openings = {t[:k] for t in self.special for k in range(1, len(t))}  # what a special token may begin with
 
-    def _chain(self) -> int:
+    def _chain(self, merges: list[tuple[int, int, int]]) -> int:
         """Symbols within which all merges that can depend on each other lie: along a chain of merges of
         rising rank, each sharing a symbol with the one before, the lengths of the tokens add up."""
         reach: dict[int, int] = {}
-        for (a, b), (_, c) in self.merge.items():
+        for a, b, c in merges:
             far = max(reach.get(a, 0), reach.get(b, 0)) + len(self.parts.get(c, ()))
             reach[a] = reach[b] = reach[c] = far
         return max(reach.values(), default=1)
@@ -136,7 +136,7 @@ class Model:
 
     def fits(self, a: int, t: int) -> bool:
         """Whether t is its own encoding and, after a (-1 at a word's start), stays apart from it."""
-        if len(self.fit) > 1_000_000:
+        if len(self.fit) > 300_000:
             self.fit.clear()
         out = self.merged(list(self.parts[t])) == [t] and (a < 0 or self.merged([*self.parts[a], *self.parts[t]]) == [a, t])
         self.fit[a << 16 | t] = out
@@ -226,7 +226,8 @@ class Encoder:
 
     def __init__(self, model: Model, cache: int = CACHE) -> None:
         self.m, self.room = model, cache
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # the newer half
+        self.older: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -241,21 +242,23 @@ class Encoder:
     def _ids(self, pre: str) -> bytes:
         got = self.cache.get(pre)
         if got is None:
-            w = Word(self.m)
-            got = self._store(pre, array("I", w.feed(pre.encode()) + w.finish()).tobytes())
+            got = self.older.get(pre)
+            if got is None:
+                w = Word(self.m)
+                got = array("I", w.feed(pre.encode()) + w.finish()).tobytes()
+            self._store(pre, got)
         return got
 
     def _miss(self, chunk: str) -> bytes:
-        pres = [chunk] if chunk.isalpha() else _PRE.findall(chunk)
+        pres = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else _PRE.findall(chunk)
         return b"".join(map(self._ids, pres))
 
-    def _store(self, text: str, ids: bytes) -> bytes:
-        """Keeps what short strings give; no text can make the memory grow beyond `room` of them."""
-        if len(text) <= KEPT:
-            if len(self.cache) >= self.room:
-                self.cache.clear()
-            self.cache[text] = ids
-        return ids
+    def _store(self, pre: str, ids: bytes) -> None:
+        """Keeps what short pre-tokens give, `room` of them at most: those not met for longest go first."""
+        if len(pre) <= KEPT:
+            if len(self.cache) >= self.room // 2:
+                self.older, self.cache = self.cache, {}
+            self.cache[pre] = ids
 
     @staticmethod
     def normal(text: str) -> str:
