@@ -169,6 +169,13 @@ def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
     return F.broadcast(kept) if bytes_of(kept) <= limit else kept
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of a batch is Python objects at a time."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
 def computed(df: DataFrame, keep: list[Column], text: Column, fn: Callable[[list], dict], made: list[tuple[str, str]]) -> DataFrame:
     """The columns `keep` with the columns `made` (name, kind of ARROW) that fn makes of a batch's texts.
     What is kept never leaves Arrow, so that nulls, large ids and any type stay as they are."""
@@ -176,7 +183,7 @@ def computed(df: DataFrame, keep: list[Column], text: Column, fn: Callable[[list
     schema = T.StructType([f for f in d.schema if f.name != "_quill_text"] + T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in made)).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("_quill_text")
             got = fn(b.column(at).to_pylist())
             kept = [i for i in range(b.num_columns) if i != at]
@@ -190,7 +197,7 @@ def replaced(df: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFr
     """df with the texts of a column replaced by what fn makes of them, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             yield b.set_column(at, b.schema.field(at), pa.array(fn(b.column(at).to_pylist()), b.schema.field(at).type))
 
@@ -201,7 +208,7 @@ def chosen(df: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFram
     """The rows of df for whose texts fn gives true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(fn(b.column(b.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -130,28 +129,25 @@ def unpack(x: int) -> tuple[int, int, int]:
     return m, m - (x >> 12 & 4095), m - (x & 4095)
 
 
-COLUMNS = ["core", "whole", "doc", "h", "p"]
-
-
-def _emit(rows: list[tuple], force: bool = False) -> Iterator[pd.DataFrame]:
-    if len(rows) >= 20_000 or (force and rows):
-        yield pd.DataFrame(rows, columns=COLUMNS)
-        rows.clear()
-
-
 def _keys(docs: DataFrame, fn) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """docs (doc, h, t[, todo]). The rows that fn makes of each text, one text at a time."""
+    schema = pa.schema([("core", pa.binary()), ("whole", pa.binary()), ("doc", pa.string()), ("h", pa.int64()), ("p", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            todo = b["todo"] if "todo" in b else [None] * len(b)
-            for doc, h, t, x in zip(b["doc"], b["h"], b["t"], todo, strict=True):
-                for core, whole, m, first, last in fn(bytes(t), None if x is None else x.tolist()):
+            todo = b.schema.get_field_index("todo")
+            for k in range(b.num_rows):
+                doc, h, data = (b.column(c)[k].as_py() for c in range(3))
+                for core, whole, m, first, last in fn(data, b.column(todo)[k].as_py() if todo >= 0 else None):
                     rows.append((core, whole, doc, h, pack(m, first, last)))
                     if len(rows) >= 20_000:
-                        yield from _emit(rows)
-        yield from _emit(rows, True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInPandas(run, "core binary, whole binary, doc string, h long, p long")
+    return docs.mapInArrow(run, "core binary, whole binary, doc string, h long, p long")
 
 
 def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +230,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for k in range(b.num_rows):
+                data, spans = b.column(1)[k].as_py(), b.column(2)[k].as_py()
                 runs = removed_runs(spans, length) if spans is not None else []
                 kept, at = [], 0
                 for x, y in runs:
