@@ -14,6 +14,32 @@ from pyspark.sql import functions as F
 from ..functions.text import coverage_stem, family_stem, tokens
 
 
+# -- filters and joins with optional parts
+def where(df: DataFrame, equal: dict | None = None, like: dict | None = None, prefix: dict | None = None, order: list | None = None, limit: int | None = None, cap: int = 500) -> DataFrame:
+    """F01, F02, F03, T08. Rows that fulfil all conditions given; those whose value is None are left out. A limit is
+    taken in `order` and cut at `cap`."""
+    for conditions, test in ((equal, lambda c, v: c == v), (like, lambda c, v: F.contains(c, F.lit(v))), (prefix, lambda c, v: c.startswith(v))):
+        for c, v in (conditions or {}).items():
+            if v is not None:
+                df = df.filter(test(F.col(c), v))
+    return df if limit is None else df.orderBy(*order).limit(max(0, min(limit, cap)))
+
+
+def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, strict: bool = False) -> DataFrame:
+    """J18, E01. left with the right side's value at the largest `at` that is not after its own (or, if strict, before it): one
+    union and one running window, instead of a range join."""
+    every = left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(0 if strict else 1)}).unionByName(right.select(*keys, at, value).withColumn("_side", F.lit(1 if strict else 0)), allowMissingColumns=True).withColumn("_left", F.col("_side") == F.lit(0 if strict else 1))
+    w = Window.partitionBy(*keys).orderBy(at, "_side", value).rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_left").drop("_side", "_left")
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame, digits: int = 3) -> DataFrame:
+    """U07 (k, o, j): of rows (k, w array) of both sides that share a token, the share of common tokens."""
+    x = left.select("k", "w", F.explode("w").alias("t"))
+    y = right.select(F.col("k").alias("o"), F.col("w").alias("w2"), F.explode("w").alias("t"))
+    return x.join(y, "t").select("k", "o", F.round(F.size(F.array_intersect("w", "w2")) / F.size(F.array_union("w", "w2")), digits).alias("j")).distinct()
+
+
 # -- tokens and vocabularies
 def token_rows(df: DataFrame, keys: list[str], text: str, pattern: str | None = None) -> DataFrame:
     """(keys, word): one row per token."""

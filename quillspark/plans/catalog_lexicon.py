@@ -220,10 +220,10 @@ def v10(s, d):
     return X.term_status(S.exam(s, d), S.grammar(s, d), {"the": "A", "ing": "A", "der": "ZZ", "zzzz": "IA"})
 
 
-@register("v11_extracurricular", f"with {S.ctes('curr', 'unitword', 'exam')}, q as (select word, count(distinct question) as hits, count(distinct case when contains(region, 'web') then question end) as region_hits from (select distinct question, region, unnest({S.TOKENS}) as word from exam) group by word) select word, coalesce(hits, 0) as hits, coalesce(region_hits, 0) as region_hits, case when coalesce(hits, 0) > 0 then 'HV_extra' else 'LV_extra' end as value from (select distinct word from unitword where word not in (select word from curr)) left join q using (word)")
+@register("v11_extracurricular", f"with {S.ctes('curr', 'unitword', 'exam')}, q as (select word, count(distinct question) as hits, count(distinct case when contains(region, 'src1') then question end) as region_hits from (select distinct question, region, unnest({S.TOKENS}) as word from exam) group by word) select word, coalesce(hits, 0) as hits, coalesce(region_hits, 0) as region_hits, case when coalesce(hits, 0) > 0 then 'HV_extra' else 'LV_extra' end as value from (select distinct word from unitword where word not in (select word from curr)) left join q using (word)")
 def v11(s, d):
     q = S.exam(s, d).select("question", "region", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    return X.extracurricular(S.unit_words(s, d), S.curriculum(s, d), q, "web")
+    return X.extracurricular(S.unit_words(s, d), S.curriculum(s, d), q, "src1")
 
 
 @register("w01_running_words", f"with {S.ctes('unitword')}, f as (select word, min((volume, unit)) as f from unitword group by word), n as (select f[1] as volume, f[2] as unit, count(*) as new from f group by all), x as (select distinct volume, unit from unitword) select volume, unit, cast(sum(coalesce(new, 0)) over (order by volume, unit) as bigint) as running from x left join n using (volume, unit)")
