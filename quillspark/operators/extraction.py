@@ -125,7 +125,7 @@ def grammar_tree(rows: DataFrame) -> DataFrame:
     # the newest item of each depth, as long as none of a lesser depth came after it
     for d in (1, 2, 3, 4):
         r = r.withColumn(f"s{d}", F.max(F.when(F.col("depth") == d, F.col("seq"))).over(w)).withColumn(f"n{d}", F.last(F.when(F.col("depth") == d, F.col("num")), ignorenulls=True).over(w))
-        above = F.greatest(F.lit(0), *[F.coalesce(f"s{k}", F.lit(0)) for k in range(1, d)])
+        above = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(f"s{k}", F.lit(0)) for k in range(1, d)])
         r = r.withColumn(f"o{d}", F.when((F.col("depth") >= d) & (F.coalesce(f"s{d}", F.lit(0)) >= above) & F.col(f"s{d}").isNotNull(), F.col(f"n{d}")))
     path = lambda least: F.concat_ws("/", *[F.when(F.col("depth") > d if least else F.col("depth") >= d, F.col(f"o{d}")) for d in (1, 2, 3, 4)])
     level = F.when(F.length("stars") >= 2, "选必").when(F.length("stars") == 1, "必修").otherwise("义教")
