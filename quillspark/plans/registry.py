@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalog, catalog_alignment, catalog_bank, catalog_graph, catalog_lexicon  # noqa: F401
+    from . import catalog, catalog_alignment, catalog_audit, catalog_bank, catalog_graph, catalog_lexicon  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
