@@ -2,8 +2,8 @@
 
 P(grade >= k) = sigmoid(w.x - t_k) with one weight vector for all ordered thresholds t_1 <= t_2 <= ...;
 expected severity is the sum of these probabilities. Features are the presence of words and of word
-beginnings of 4 and 5 letters, those of 5 also by whether they come twice or three times. Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low
-quality. The model is fitted on a bounded, documented sample: per grade the `per_grade` labelled
+beginnings of 4 and 5 letters, those of 5 also by whether they come twice or three times. Grades come from the labels: 0 clean, 1 of low quality but
+not toxic, 2 toxic; a document is rejected if the top grade is more likely than not. The model is fitted on a bounded, documented sample: per grade the `per_grade` labelled
 documents that are first by a hash of their id. Features whose share differs between toxic and other
 documents of the sample (two-proportion z of at least `min_z`) are kept, at most `max_features` by z; the
 fit itself runs on the driver over at most per_grade * 3 rows of these features. Scoring reads every
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import chosen, computed, table, written
 
-GRADES, PER_GRADE, MIN_Z, MAX_FEATURES, REPEATS = 3, 3000, 4.0, 4096, 3
+GRADES, PER_GRADE, MIN_Z, MAX_FEATURES, REPEATS = 3, 3000, 3.0, 4096, 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,22 +52,23 @@ class Model:
         return [float(1 / (1 + np.exp(np.clip(t - found, -500, 500)))) for t in self.thresholds]
 
     def severity(self, text: str | None) -> tuple[float, float]:
-        """(expected severity, probability of any toxicity)."""
+        """(expected severity, probability of the top grade)."""
         w = self.weights
         p = self.above(sum(w[f] for f in sorted(features(text) & w.keys())))
-        return sum(p), (p[0] if p else 0.0)
+        return sum(p), (p[-1] if p else 0.0)
 
 
-def fit(x: list[list[int]], y: np.ndarray, n_features: int, prior: list[float], grades: int = GRADES, l2: float = 2e-6, rounds: int = 600) -> tuple[np.ndarray, list[float]]:
-    """Penalised maximum likelihood by gradient steps (RMSprop), rows weighted so that each grade counts by its share `prior` of all labels."""
+def fit(x: list[list[int]], y: np.ndarray, n_features: int, prior: list[float], grades: int = GRADES, l2: float = 2e-5, rounds: int = 600, rate: float = 0.2) -> tuple[np.ndarray, list[float]]:
+    """Penalised maximum likelihood by gradient steps (Adam, with a falling rate), rows weighted so that each grade counts by its share `prior` of all labels."""
     rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
     cols = np.array([c for r in x for c in r], dtype=np.int64)
     weight = (np.array(prior[:grades]) / np.maximum(np.bincount(y, minlength=grades), 1))[y]
     weight = weight / weight.sum()
     w, t = np.zeros(n_features), np.linspace(0, 1, grades - 1) if grades > 1 else np.zeros(0)
-    sw, st = np.zeros(n_features), np.zeros(grades - 1)
+    mw, mt, sw, st = np.zeros(n_features), np.zeros(grades - 1), np.zeros(n_features), np.zeros(grades - 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for _ in range(rounds):
+    for k in range(rounds):
+        step = rate * (1 - k / rounds)
         z = np.bincount(rows, weights=w[cols], minlength=len(x))
         cum = np.concatenate([np.ones((len(x), 1)), sig(z[:, None] - t[None, :]), np.zeros((len(x), 1))], axis=1)
         own = np.maximum(cum[np.arange(len(x)), y] - cum[np.arange(len(x)), y + 1], 1e-12)
@@ -75,14 +76,17 @@ def fit(x: list[list[int]], y: np.ndarray, n_features: int, prior: list[float],
         lo, hi = slope[np.arange(len(x)), y] / own, slope[np.arange(len(x)), y + 1] / own
         gz = weight * (lo - hi)
         gw = np.bincount(cols, weights=gz[rows], minlength=n_features) - l2 * w
-        gt = np.array([-(weight * lo)[y == k + 1].sum() + (weight * hi)[y == k].sum() for k in range(grades - 1)])
-        sw, st = 0.9 * sw + 0.1 * gw**2, 0.9 * st + 0.1 * gt**2
-        w, t = w + 0.05 * gw / (np.sqrt(sw) + 1e-6), np.maximum.accumulate(t + 0.05 * gt / (np.sqrt(st) + 1e-6))
+        gt = np.array([-(weight * lo)[y == g + 1].sum() + (weight * hi)[y == g].sum() for g in range(grades - 1)])
+        mw, mt = 0.9 * mw + 0.1 * gw, 0.9 * mt + 0.1 * gt
+        sw, st = 0.99 * sw + 0.01 * gw**2, 0.99 * st + 0.01 * gt**2
+        full, whole = 1 - 0.99 ** (k + 1), 1 - 0.9 ** (k + 1)
+        w = w + step * mw / whole / (np.sqrt(sw / full) + 1e-8)
+        t = np.maximum.accumulate(t + step * mt / whole / (np.sqrt(st / full) + 1e-8))
     return w, t.tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE, min_z: float = MIN_Z, max_features: int = MAX_FEATURES) -> Model:
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, F.when(F.col("quality") == 0, 1).otherwise(0))
     y = labels.select(F.col("doc_id").alias("_id"), grade.alias("grade")).filter("grade is not null and _id is not null").groupBy("_id").agg(F.max("grade").alias("grade"))
     parts = [y.filter(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(per_grade) for g in range(GRADES)]
     picked = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -95,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 f = sorted(features(t))
                 yield pd.DataFrame({"grade": np.int32(g), "feature": ["", *f]})
 
-    counts = sample.mapInPandas(words, "grade int, feature string").groupBy("feature").agg(F.count_if(F.col("grade") > 0).alias("pos"), F.count_if(F.col("grade") == 0).alias("neg"))
+    counts = sample.mapInPandas(words, "grade int, feature string").groupBy("feature").agg(F.count_if(F.col("grade") == 2).alias("pos"), F.count_if(F.col("grade") < 2).alias("neg"))
     totals = counts.filter("feature = ''").first()
     if not totals or not totals["pos"] or not totals["neg"]:
         return Model({}, [50.0])
@@ -111,9 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"_id": b["_id"].astype(str), "grade": b["grade"], "x": [sorted(number[f] for f in features(t) & number.keys()) for t in b["text"]]})
 
     rows = sample.mapInPandas(coded, "_id string, grade int, x array<int>").orderBy("_id", "grade", "x").toPandas()
-    grades = int(rows["grade"].max()) + 1
     all_labels = {r["grade"]: r["count"] for r in y.groupBy("grade").count().collect()}  # GRADES rows
-    w, t = fit([list(x) for x in rows["x"]], rows["grade"].to_numpy(), len(names), [float(all_labels.get(g, 0)) for g in range(GRADES)], grades)
+    levels, level = np.unique(rows["grade"].to_numpy(), return_inverse=True)  # grades that no document has need no threshold
+    w, t = fit([list(x) for x in rows["x"]], level, len(names), [float(all_labels[int(g)]) for g in levels], len(levels))
     return Model({f: float(v) for f, v in zip(names, w, strict=True)}, t)
 
 
