@@ -73,18 +73,20 @@ def vocabulary_quiz(words: DataFrame, n: int = 5, seed: int = 42, options: int =
     return q.select("unit", "seq", "word", F.when(F.col("seq") % 2 == 1, "meaning").otherwise("word").alias("asks"), "options", F.chr(F.lit(64) + F.array_position("options", own)).alias("answer"))
 
 
-def spaced(text: Column, n: int, keep) -> Column:
-    """W08 (pos, word): the tokens that `keep` takes, at most n of them: those with index int(i * size / n)."""
-    kept = F.filter(F.transform(tokens(text), lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), keep)
-    pick = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(kept, (F.floor(i * F.size(kept) / n) + 1).cast("int")))
-    return F.when(F.size(kept) <= n, kept).otherwise(pick)
+def spaced(df: DataFrame, text: Column, n: int, keep) -> DataFrame:
+    """W08. df with x, an array of (pos, word): the tokens that `keep` takes, at most n of them: those with index int(i * size / n).
+    What is kept is a column of its own, used more than once, so that it is not made anew for each pick."""
+    d = df.withColumn("_kept", F.filter(F.transform(tokens(text), lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), keep))
+    pick = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at("_kept", (F.floor(i * F.size("_kept") / n) + 1).cast("int")))
+    return d.withColumn("x", F.when(F.size("_kept") <= n, F.col("_kept")).otherwise(pick)).drop("_kept")
 
 
 def cloze(passages: DataFrame, words: DataFrame, stop: list[str], n: int = 10, seed: int = 42) -> DataFrame:
     """Q09 (passage, seq, pos, word, distractors): passages (passage, text). Blanks are spaced evenly over the tokens of 4 letters and
     more that are no stop words; distractors are 3 words about as long. Words are cut to a hash order per
     length first, so that a blank meets a bounded number of them."""
-    b = passages.select("passage", F.posexplode(spaced(F.substring("text", 1, 2000), n, lambda x: (F.length(x["word"]) >= 4) & ~x["word"].isin(stop))).alias("seq", "x")).select("passage", (F.col("seq") + 1).alias("seq"), "x.pos", "x.word")
+    p = spaced(passages, F.substring("text", 1, 2000), n, lambda x: (F.length(x["word"]) >= 4) & ~x["word"].isin(stop))
+    b = p.select("passage", F.posexplode("x").alias("seq", "x")).select("passage", (F.col("seq") + 1).alias("seq"), "x.pos", "x.word")
     w = words.select("word", F.length("word").alias("len")).withColumn("r", F.row_number().over(Window.partitionBy("len").orderBy(hash_order("word", seed), "word"))).filter("r <= 4").select("len", F.struct(hash_order("word", seed).alias("h"), "word").alias("o"))
     pool = w.select(F.explode(F.transform(F.sequence(F.col("len") - 2, F.col("len") + 1), lambda x: x)).alias("len"), "o").groupBy("len").agg(F.array_sort(F.collect_list("o")).alias("pool"))
     q = b.withColumn("len", F.length("word")).join(pool, "len")
@@ -94,7 +96,8 @@ def cloze(passages: DataFrame, words: DataFrame, stop: list[str], n: int = 10, s
 
 def grammar_fill(passages: DataFrame, n: int = 10) -> DataFrame:
     """Q10, C06 (passage, seq, pos, word, root): inflected tokens to blank, with their roots."""
-    b = passages.select("passage", F.posexplode(spaced(F.col("text"), n, lambda x: x["word"].rlike(INFLECTED))).alias("seq", "x"))
+    p = spaced(passages, F.col("text"), n, lambda x: x["word"].rlike(INFLECTED))
+    b = p.select("passage", F.posexplode("x").alias("seq", "x"))
     return b.select("passage", (F.col("seq") + 1).alias("seq"), "x.pos", "x.word", verb_root(F.col("x.word")).alias("root"))
 
 

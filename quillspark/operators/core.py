@@ -112,9 +112,10 @@ def ngram_overlap(docs: DataFrame, key: str, passages: DataFrame, other: str, te
 
     def grams(df: DataFrame, k: str) -> DataFrame:
         t = df.select(k, tokens(F.col(text)).alias("t")).filter(F.size("t") >= n)
-        # hashes of words are combined by position, so that no n-gram is built as a string before it may match
-        codes = F.transform("t", lambda w: F.xxhash64(w))
-        rows = t.select(k, "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.slice(codes, i, n)))).alias("i", "h"))
+        # hashes of words are combined by position, so that no n-gram is built as a string before it may match; the column
+        # `c` is used twice below, so that Catalyst keeps it as a column and does not put it into the lambda
+        c = t.select(k, "t", F.transform("t", lambda w: F.xxhash64(w)).alias("c"))
+        rows = c.select(k, "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.xxhash64(F.slice("c", i, n)))).alias("i", "h"))
         return rows.select(k, "h", F.slice("t", F.col("i") + 1, n).alias("g"))
 
     small = grams(passages, other).distinct()

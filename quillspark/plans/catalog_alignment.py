@@ -67,10 +67,10 @@ def m06(s, d):
     return A.type_years(S.exam(s, d), ["en", "de", "fr", "es"])
 
 
-@q("m01_regression", ", y as (select region as k, year, count(*) as n from exam group by all) select k, case when count(*) < 2 then 0 else round(coalesce(regr_slope(n, year), 0), 6) end as slope, case when count(*) < 2 then 0 else round(coalesce(regr_intercept(n, year), avg(n)), 4) end as intercept from y group by k", "exam")
+@q("m01_regression", ", y as (select region as k, year, count(*) as n from exam group by all) select k, case when count(*) < 2 then 0 else round(coalesce(regr_slope(n, year), 0), 6) + 0.0 end as slope, case when count(*) < 2 then 0 else round(coalesce(regr_intercept(n, year), avg(n)), 4) end as intercept from y group by k", "exam")
 def m01(s, d):
     y = S.exam(s, d).groupBy(F.col("region").alias("k"), "year").agg(F.count("*").alias("n"))
-    return O.ols(y, ["k"], "year", "n").select("k", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return O.ols(y, ["k"], "year", "n").select("k", (F.round("slope", 6) + 0.0).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 def _profile_sql(name, points, table, col, among):
