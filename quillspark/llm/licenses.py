@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,18 @@ NOTICES = {
 }
 
 
+# The clause that makes the three-clause BSD licence of the two-clause one.
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _THIRD + "THIS SOFTWARE IS PROVIDED", 1)
+# Long texts are files of the licence's name.
+TEXTS |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+# Apache's is also given without its appendix, and without the line that ends its terms.
+_END = "END OF TERMS AND CONDITIONS"
+TEXTS["Apache-2.0"], _, _APPENDIX = TEXTS["Apache-2.0"].partition(_END)
+TAILS["Apache-2.0"] = [_END, _END + _APPENDIX]
+TITLES |= {"bsd 3 clause license", "the 3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "the bsd 3 clause license"}
+
+
 # A statement names a year, a sign or a holder; these words after 'copyright' are a licence body's instead.
 _BODY = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?|protection|rights?|and|or|in|of|to|is|are|as|for|on|shall|may|if|the\s+above)\b"
 # Openings of licences and notices, where a statement on the same line ends.
@@ -103,10 +116,21 @@ def digest(text: str) -> str:
     return hashlib.sha256(canonical(text).encode()).hexdigest()
 
 
+def known_digests() -> dict[str, str]:
+    """Digest to licence: each text with its known tails, and lists of clauses also with bullets in place of numbers."""
+    out = {}
+    for k, t in TEXTS.items():
+        for tail in ("", *TAILS.get(k, ())):
+            out[digest(t + tail)] = k
+            if k.startswith("BSD-"):
+                out[digest(re.sub(r"\b[1-3]\. ", "* ", t + tail))] = k
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, license_id, notices): the licence that the whole text is, and those its lines name."""
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted((digest(t + tail), k) for k, t in TEXTS.items() for tail in ("", *TAILS.get(k, ()))), "digest string, license_id string"))
+    known = F.broadcast(spark.createDataFrame(sorted(known_digests().items()), "digest string, license_id string"))
     notice = {digest(t): k for k, ts in NOTICES.items() for t in ts}
 
     def digests(texts: list) -> dict:
