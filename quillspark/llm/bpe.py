@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import computed, table
 
-FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 200_000, 64
+FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 150_000, 64
 NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
@@ -136,7 +136,7 @@ class Model:
 
     def fits(self, a: int, t: int) -> bool:
         """Whether t is its own encoding and, after a (-1 at a word's start), stays apart from it."""
-        if len(self.fit) > 300_000:
+        if len(self.fit) > 200_000:
             self.fit.clear()
         out = self.merged(list(self.parts[t])) == [t] and (a < 0 or self.merged([*self.parts[a], *self.parts[t]]) == [a, t])
         self.fit[a << 16 | t] = out

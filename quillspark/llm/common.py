@@ -174,6 +174,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for k in range(0, max(1, b.num_rows), rows):
             yield b.slice(k, rows)
+        del b
+        pa.default_memory_pool().release_unused()  # workers stay, and what they hold counts against later stages
 
 
 def computed(df: DataFrame, keep: list[Column], text: Column, fn: Callable[[list], dict], made: list[tuple[str, str]]) -> DataFrame:
