@@ -11,6 +11,7 @@ from .chat import op10_chat_formatting
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op3_embedding_near_dedup
 from .licenses import op9_license_scans
+from .manifest import op13_merkle_manifest
 from .secrets import op2_secret_scans
 from .simhash import op8_simhash_near_dedup
 from .substrings import op5_suffix_array_dedup
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         op8_simhash_near_dedup,
         op9_license_scans,
         op10_chat_formatting,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in ops}
 
@@ -80,10 +82,28 @@ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQ
 case when m.last = h.page_id then 'response' else 'revisit' end as record_type, case when m.last = h.page_id then null else m.last end as refers_to
 from h join m on m.sha = h.sha join bits on bits.page_id = h.page_id
 """
+OP13 = """
+with recursive bits(b, c, k) as (select i::ubigint, i::ubigint, 0 from range(256) t(i) union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by b) as t from bits where k = 8),
+d as (select doc_id, lang, n_chars, concat(coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-')) as a, coalesce(octet_length(encode(text)) || ':' || text, '-') as z,
+  coalesce(xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::bigint + 1])), 4294967295::ubigint) % 7 = 0, false) as bad from documents, crc),
+h as (select doc_id, coalesce('=' || lang, '') as g, sha256(concat(a, coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-'), z)) as leaf, sha256(concat(a, coalesce(octet_length(encode((n_chars + bad::int)::varchar)) || ':' || (n_chars + bad::int), '-'), z)) as other from d),
+n as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i from h),
+lv(g, l, i, x, n) as (select g, 0, i, leaf, count(*) over (partition by g) from n union all select g, l + 1, i // 2, sha256(string_agg(x, '' order by i)), (n + 1) // 2 from lv where n > 1 group by g, l, i // 2, n),
+s as (select g, x as subroot, row_number() over (order by g) - 1 as j from lv where n = 1),
+tv(l, i, x, n) as (select 0, j, subroot, count(*) over () from s union all select l + 1, i // 2, sha256(string_agg(x, '' order by i)), (n + 1) // 2 from tv where n > 1 group by l, i // 2, n),
+b as (select k.g, k.i, 0 as part, lv.l, lv.x from (select g, i, unnest(range(0, 64)) as l from n) k join lv on lv.g = k.g and lv.l = k.l and lv.n > 1 and lv.i = xor((k.i >> k.l)::bigint, 1::bigint)),
+c as (select k.g, 1 as part, tv.l, tv.x from (select g, j, unnest(range(0, 64)) as l from s) k join tv on tv.l = k.l and tv.n > 1 and tv.i = xor((k.j >> k.l)::bigint, 1::bigint)),
+p as (select g, i, sha256(string_agg(x, '' order by part, l)) as proof from (select * from b union all select n.g, n.i, part, l, x from n join c on c.g = n.g) group by g, i),
+f(g, i, l, x) as (select g, i, 0, other from n union all select f.g, f.i, f.l + 1, sha256(case when (f.i >> f.l) % 2 = 1 then b.x || f.x else f.x || coalesce(b.x, '') end) from f join (select g, max(l) as top from lv group by g) m on m.g = f.g and f.l < m.top left join b on b.g = f.g and b.i = f.i and b.l = f.l),
+e(g, i, j, l, x) as (select f.g, f.i, s.j, 0, f.x from f join (select g, max(l) as top from lv group by g) m on m.g = f.g and f.l = m.top join s on s.g = f.g union all select e.g, e.i, e.j, e.l + 1, sha256(case when (e.j >> e.l) % 2 = 1 then c.x || e.x else e.x || coalesce(c.x, '') end) from e join (select max(l) as top from tv) m on e.l < m.top left join c on c.g = e.g and c.l = e.l)
+select n.doc_id, n.leaf, s.subroot, r.x as root, coalesce(proof, sha256('')) as proof_sha256, e.x as folded_root, e.x = r.x as verified
+from n join s on s.g = n.g join (select l, x from tv where n = 1) r on true join e on e.g = n.g and e.i = n.i and e.l = r.l left join p on p.g = n.g and p.i = n.i
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can say over whole tables in reasonable time. Not so for spans of decoded layers (2), byte-pair
     merging (4), fitting (7), XXH64 (8), canonical licence texts (9) and quote levels (10): tests/llm holds those
     against brute force."""
-    return {"op1_benchmark_decontamination": OP1, "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op6_warc": OP6}
+    return {"op1_benchmark_decontamination": OP1, "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op6_warc": OP6, "op13_merkle_manifest": OP13}
