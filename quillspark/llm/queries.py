@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_encoding
 from .chat import op10_chat_formatting
+from .codebooks import op12_vector_codes
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op3_embedding_near_dedup
 from .licenses import op9_license_scans
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         op8_simhash_near_dedup,
         op9_license_scans,
         op10_chat_formatting,
+        op12_vector_codes,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in ops}
@@ -82,6 +84,20 @@ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQ
 case when m.last = h.page_id then 'response' else 'revisit' end as record_type, case when m.last = h.page_id then null else m.last end as refers_to
 from h join m on m.sha = h.sha join bits on bits.page_id = h.page_id
 """
+def _lloyd(r: int) -> str:
+    """Assignment to the codebooks of round r, and the codebooks that it gives."""
+    return f"""a{r} as materialized (select vec_id, j, min(d * 256 + e) % 256 as e, min(d * 256 + e) // 256 as d from (select p.vec_id, p.j, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from p join b{r} b on b.j = p.j) group by vec_id, j),
+b{r + 1} as materialized (select b.j, b.e, coalesce(m.x, b.x) as x from b{r} b left join (select j, e, list((s - ((s % n) + n) % n) // n order by i) as x from (select j, e, i, sum(v)::bigint as s, count(*) as n from (select p.j, a.e, unnest(p.x) as v, unnest(range(1, len(p.x) + 1)) as i from p join a{r} a on a.vec_id = p.vec_id and a.j = p.j) group by j, e, i) group by j, e) m on m.j = b.j and m.e = b.e)"""
+
+
+OP12 = f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, j, x[j * len(x) // 4 + 1 : (j + 1) * len(x) // 4] as x from k, range(4) t(j)),
+b0 as materialized (select j, row_number() over (partition by j order by vec_id) - 1 as e, x from p qualify row_number() over (partition by j order by vec_id) <= 256),
+{", ".join(_lloyd(r) for r in range(5))},
+c as (select vec_id, string_agg(printf('%02x', e), '' order by j) as code, sum(d)::bigint as error from a4 group by vec_id)
+select c.vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(array_to_string(x, ','), ',' order by j, e)) from b4) as codebooks_sha256 from c join k on k.vec_id = c.vec_id
+"""
 OP13 = """
 with recursive bits(b, c, k) as (select i::ubigint, i::ubigint, 0 from range(256) t(i) union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits where k < 8),
 crc as (select list(c order by b) as t from bits where k = 8),
@@ -106,4 +122,4 @@ def oracle_sql() -> dict[str, str]:
     """What DuckDB can say over whole tables in reasonable time. Not so for spans of decoded layers (2), byte-pair
     merging (4), fitting (7), XXH64 (8), canonical licence texts (9) and quote levels (10): tests/llm holds those
     against brute force."""
-    return {"op1_benchmark_decontamination": OP1, "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op6_warc": OP6, "op13_merkle_manifest": OP13}
+    return {"op1_benchmark_decontamination": OP1, "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op6_warc": OP6, "op12_vector_codes": OP12, "op13_merkle_manifest": OP13}
