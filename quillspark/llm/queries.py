@@ -11,6 +11,7 @@ from .chat import op10_chat_formatting
 from .codebooks import op12_vector_codes
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op3_embedding_near_dedup
+from .langid import op11_language_id
 from .licenses import op9_license_scans
 from .manifest import op13_merkle_manifest
 from .secrets import op2_secret_scans
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         op8_simhash_near_dedup,
         op9_license_scans,
         op10_chat_formatting,
+        op11_language_id,
         op12_vector_codes,
         op13_merkle_manifest,
     )
@@ -120,6 +122,6 @@ from n join s on s.g = n.g join (select l, x from tv where n = 1) r on true join
 
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can say over whole tables in reasonable time. Not so for spans of decoded layers (2), byte-pair
-    merging (4), fitting (7), XXH64 (8), canonical licence texts (9) and quote levels (10): tests/llm holds those
+    merging (4), fitting (7), XXH64 (8), canonical licence texts (9), quote levels (10) and random letter vectors (11): tests/llm holds those
     against brute force."""
     return {"op1_benchmark_decontamination": OP1, "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op6_warc": OP6, "op12_vector_codes": OP12, "op13_merkle_manifest": OP13}
