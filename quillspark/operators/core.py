@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coverage_stem, family_stem, tokens
+from .rounds import expand_many, roots
+from .splits import first_per_group, split_join
+
+__all__ = ["expand_many", "roots", "tokens"]
 
 
 # -- filters and joins with optional parts
@@ -33,11 +37,14 @@ def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     return every.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_left").drop("_side", "_left")
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, digits: int = 3) -> DataFrame:
-    """U07 (k, o, j): of rows (k, w array) of both sides that share a token, the share of common tokens."""
-    x = left.select("k", "w", F.explode("w").alias("t"))
-    y = right.select(F.col("k").alias("o"), F.col("w").alias("w2"), F.explode("w").alias("t"))
-    return x.join(y, "t").select("k", "o", F.round(F.size(F.array_intersect("w", "w2")) / F.size(F.array_union("w", "w2")), digits).alias("j")).distinct()
+def jaccard_pairs(left: DataFrame, right: DataFrame, digits: int = 3, within: list[str] | None = None) -> DataFrame:
+    """U07, G17 (k, o, j): of rows (k, w array) of both sides that share a token (and have equal values in `within`), the share of common
+    tokens. Common tokens are counted, so that no array travels, and heavy tokens are joined in pairs of blocks."""
+    keys = within or []
+    x = left.select("k", *keys, F.array_distinct("w").alias("w")).select("k", *keys, F.size("w").alias("nk"), F.explode("w").alias("t"))
+    y = right.select(F.col("k").alias("o"), *keys, F.array_distinct("w").alias("w")).select("o", *keys, F.size("w").alias("no"), F.explode("w").alias("t"))
+    n = split_join(x, y, [*keys, "t"], F.col("k"), F.col("o")).groupBy("k", "o", "nk", "no", *keys).agg(F.count("*").alias("both"))
+    return n.select("k", "o", F.round(F.col("both") / (F.col("nk") + F.col("no") - F.col("both")), digits).alias("j")).distinct()
 
 
 # -- tokens and vocabularies
@@ -97,12 +104,46 @@ def word_families(words: DataFrame) -> DataFrame:
     return s.alias("a").join(s.alias("b"), "stem").filter("a.word <> b.word").select(F.col("a.word").alias("src"), F.col("b.word").alias("dst"), F.lit(0.8).alias("weight"))
 
 
+SHORT = 24  # letters up to which words are indexed by their deletions
+
+
+def _variants(word: Column, limit: int) -> Column:
+    """A word and what is left of it without up to `limit` of the letters after its first."""
+    drop = lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    ring = out = F.array(word)
+    for _ in range(limit):
+        ring = F.array_distinct(F.flatten(F.transform(ring, lambda w: F.when(F.length(w) >= 2, drop(w)).otherwise(F.array().cast("array<string>")))))
+        out = F.concat(out, ring)
+    return F.array_distinct(out)
+
+
+def near_words(left: DataFrame, right: DataFrame, limit: int = 2) -> DataFrame:
+    """J19, V07, Z19 (word, fix, dist): pairs of left (word) and right (fix) with the same first letter, lengths within one and 1 to
+    `limit` edits. An index of neighbourhoods: words of up to SHORT letters are keyed by what deletions leave of them (both sides
+    of a pair have a key in common, as each edit is a deletion on one side or on both); longer ones are cut into limit + 1 pieces, of which
+    edits leave one as it is, so that it stands in the other word within `limit` places. Candidates are verified."""
+    cut = lambda d, c, short: d.filter(F.length(c) <= short)
+    long = lambda d, c, least: d.filter(F.length(c) >= least)
+    lw, rw = left.filter(F.length("word") > 0).select("word").distinct(), right.filter(F.length("fix") > 0).select("fix").distinct()
+    by_deletion = lambda d, c: d.select(c, F.explode(_variants(F.col(c), limit)).alias("key"))
+    near = by_deletion(cut(lw, "word", SHORT + 1), "word").join(by_deletion(cut(rw, "fix", SHORT), "fix"), "key").select("word", "fix")
+    pieces, n = limit + 1, F.length("fix")
+    start = lambda n, k: F.floor(n * k / pieces).cast("int")
+    piece = lambda k: F.struct(n.alias("len"), F.lit(k).alias("k"), F.substring(F.col("fix"), start(n, k) + 1, start(n, k + 1) - start(n, k)).alias("key"))
+    index = long(rw, "fix", SHORT + 1).select("fix", F.explode(F.array(*[piece(k) for k in range(pieces)])).alias("p")).select("fix", "p.*")
+    m = F.col("len")
+    at = lambda k, s: F.when(start(m, k) + s >= 0, F.struct(F.lit(k).alias("k"), F.substring(F.col("word"), start(m, k) + 1 + s, start(m, k + 1) - start(m, k)).alias("key")))
+    asked = long(lw, "word", SHORT).select("word", F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("len"))
+    asked = asked.select("word", "len", F.explode(F.array_distinct(F.filter(F.array(*[at(k, s) for k in range(pieces) for s in range(-limit, limit + 1)]), lambda x: x.isNotNull()))).alias("p")).select("word", "len", "p.*")
+    far = asked.join(index, ["len", "k", "key"]).select("word", "fix")
+    d = near.unionByName(far).filter((F.left("word", F.lit(1)) == F.left("fix", F.lit(1))) & (F.abs(F.length("word") - F.length("fix")) <= 1) & (F.col("word") != F.col("fix"))).distinct()
+    return d.withColumn("dist", F.levenshtein("word", "fix", limit)).filter("dist >= 0")
+
+
 def fuzzy_fixes(unknown: DataFrame, known: DataFrame, limit: int = 2) -> DataFrame:
-    """(word, fix, dist): nearest known word within `limit` edits with the same first letter and length
-    within one, ties by alphabet. The length is part of the join key, so blocks stay small."""
-    u = unknown.select("word", F.substring("word", 1, 1).alias("c"), F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("len"))
-    k = known.select(F.col("word").alias("fix"), F.substring("word", 1, 1).alias("c"), F.length("word").alias("len"))
-    d = u.join(k, ["c", "len"]).withColumn("dist", F.levenshtein("word", "fix", limit)).filter((F.col("dist") >= 0) & (F.col("word") != F.col("fix")))
+    """J19 (word, fix, dist): the nearest known word within `limit` edits with the same first letter and length
+    within one, ties by alphabet."""
+    d = near_words(unknown.select("word"), known.select(F.col("word").alias("fix")), limit)
     return d.groupBy("word").agg(F.min(F.struct("dist", "fix")).alias("b")).select("word", "b.fix", "b.dist")
 
 
@@ -148,10 +189,10 @@ def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def pair_cooccurrence(df: DataFrame, group: str, label: str) -> DataFrame:
-    """(a, b, n): in how many groups two labels occur together, a < b."""
+    """A14 (a, b, n): in how many groups two labels occur together, a < b. Groups of many labels are joined in pairs of blocks."""
     d = df.select(group, label).distinct()
     x, y = d.select(group, F.col(label).alias("a")), d.select(group, F.col(label).alias("b"))
-    return x.join(y, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return split_join(x, y, [group], F.col("a"), F.col("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def running_distinct(df: DataFrame, group: str, order: str, item: str) -> DataFrame:
@@ -244,17 +285,9 @@ def neighbours(edges: DataFrame, node: str, direction: str = "both", relation: s
 
 
 def expand(edges: DataFrame, start: str, depth: int, relations: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
-    """G08 (id, depth): nodes within `depth` steps in either direction, at their least depth, the nearest
-    `max_nodes` of them by (depth, id) if given. A bounded number of joins of the frontier with the edges;
-    the frontier is a DataFrame, never collected."""
-    e = edges if relations is None else edges.filter(F.col("relation").isin(relations))
-    both = e.select(F.col("src_id").alias("id"), F.col("dst_id").alias("to")).unionByName(e.select(F.col("dst_id").alias("id"), F.col("src_id").alias("to"))).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
-    front = seen
-    for d in range(1, depth + 1):
-        front = front.join(both, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
+    """G08 (id, depth): expand_many() of one start."""
+    one = edges.sparkSession.createDataFrame([(start,)], "start string")
+    return expand_many(edges, one, depth, relations, max_nodes).select("id", "depth")
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame, relations: list[str] | None = None) -> DataFrame:
@@ -278,18 +311,6 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("concept_id", "src_id"), "src_id", "left_anti").select(edges.columns).unionByName(edges.join(ids.withColumnRenamed("concept_id", "dst_id"), "dst_id", "left_anti").select(edges.columns)).distinct()
 
 
-def roots(parents: DataFrame, rounds: int = 6) -> DataFrame:
-    """parents (id, parent). (id, root, cyclic): pointer jumping over 2 ** rounds steps; a chain that has
-    not come to a root by then is a cycle."""
-    p = parents.select("id", F.coalesce("parent", "id").alias("up"))
-    for _ in range(rounds):
-        q = p.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        p = p.join(q, "up", "left").select("id", F.coalesce("next", "up").alias("up"))
-    top = parents.filter("parent is null").select(F.col("id").alias("up"), F.lit(True).alias("top"))
-    known = parents.select(F.col("id").alias("up"), F.lit(True).alias("known"))
-    return p.join(top, "up", "left").join(known, "up", "left").select("id", F.col("up").alias("root"), (F.col("top").isNull() & F.col("known").isNotNull()).alias("cyclic"))
-
-
 # -- assessment
 def weakness(answers: DataFrame, least: int = 3, gate: float = 0.40, full: int = 10) -> DataFrame:
     """answers (student, concept, correct boolean). (1 - accuracy) sqrt(min(n, full) / full), from `least` answers on."""
@@ -299,9 +320,12 @@ def weakness(answers: DataFrame, least: int = 3, gate: float = 0.40, full: int =
 
 
 def compose(bank: DataFrame, spec: DataFrame, seed: int = 42) -> DataFrame:
-    """Q04. bank (item, kind), spec (kind, want): per kind the first `want` items in seeded hash order."""
-    r = bank.join(spec, "kind").withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("item").cast("string")), 256), "item")))
-    return r.filter("seq <= want").select("kind", "item", "seq")
+    """Q04 (kind, item, seq). bank (item, kind), spec (kind, want): per kind the first `want` items in seeded hash order. Only the
+    largest number wanted comes to the driver; with it each partition keeps that many rows a kind before the shuffle."""
+    most = spec.agg(F.max("want")).first()[0] or 0
+    order = [F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("item").cast("string")), 256), F.col("item")]
+    # spec has a row a kind and no item; bank is not shuffled to it if it is small enough for Catalyst
+    return first_per_group(bank.select("item", "kind").join(spec.select("kind", "want"), "kind"), ["kind"], order, "want", int(most)).select("kind", "item", "seq")
 
 
 def shortfalls(bank: DataFrame, spec: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import nearest_before
+from .phrases import dictionary, phrase_table
 
 # Headings of sections and what kind a section is.
 KINDS = {"Starting out": "Intro", "Understanding ideas": "Reading", "Using language": "Grammar", "Developing ideas": "Reading", "Presenting ideas": "Speaking", "Reflection": "Review", "Project": "Project", "Self-assessment": "Review", "Integrated skills": "Integrated", "Reading and Thinking": "Reading", "Reading and Writing": "Writing", "Reading for Writing": "Writing", "Listening and Speaking": "Listening", "Listening and Talking": "Listening", "Discovering Useful Structures": "Grammar", "Assessing Your Progress": "Review", "Workbook": "Workbook", "Video Time": "Listening", "Words in Use": "Vocabulary", "Grammar": "Grammar", "Vocabulary": "Vocabulary", "Listening": "Listening", "Speaking": "Speaking", "Reading": "Reading", "Writing": "Writing"}
@@ -173,12 +174,7 @@ def repaired_titles(unit_pages: DataFrame, themes: DataFrame, most: int = 60) ->
     return j.select("volume", "unit", F.when(ok, F.concat_ws(" ", F.lit("UNIT"), F.col("unit").cast("string"), "theme")).otherwise(F.col("title")).alias("title"))
 
 
-def phrases(texts: DataFrame, verbs: list[str], functions: list[tuple[str, str]]) -> DataFrame:
-    """C18, E05 (volume, unit, canonical, kind, evidence): dictionary phrases and functional expressions of section texts (volume, unit, seq, text); of a unit's
-    equal phrases that of the first section stays."""
-    from ..functions.language import evidence
-
-    e = [(p, "verb_phrase", evidence(F.col("text"), p)) for p in verbs] + [(p, f"function_expression:{k}", evidence(F.col("text"), p, 30, 50)) for p, k in functions]
-    found = F.filter(F.array(*[F.struct(F.lit(p).alias("canonical"), F.lit(k).alias("kind"), x.alias("evidence")) for p, k, x in e]), lambda x: x["evidence"].isNotNull())
-    r = texts.select("volume", "unit", "seq", F.explode(found).alias("x")).select("volume", "unit", "seq", "x.*")
-    return r.groupBy("volume", "unit", "canonical", "kind").agg(F.min_by("evidence", "seq").alias("evidence"))
+def phrases(texts: DataFrame, verbs: list[str], functions: list[tuple[str, str]], patterns: list[tuple[str, str]] | None = None) -> DataFrame:
+    """C18, E05 (volume, unit, canonical, kind, evidence): dictionary phrases, functional expressions and sentence patterns of section
+    texts (volume, unit, seq, text); of a unit's equal phrases that of the first section stays."""
+    return phrase_table(texts, dictionary(texts.sparkSession, verbs, functions), patterns)

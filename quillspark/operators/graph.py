@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import first_of, title_tokens
+from .core import jaccard_pairs
+from .splits import split_join
 
 # The relations that a graph may hold.
 RELATIONS = ["cefr_level", "cat_of", "city_uses", "allowed_in_ln", "vol_in_ver", "in_year", "question_type", "in_volume", "introduces_word", "tests_word", "tests_grammar", "theme_of_unit", "introduces_phrase", "derive_from", "uses_grammar", "tests_theme", "co_occurs", "topic_aligned"]
@@ -216,7 +218,7 @@ def related(nodes: DataFrame, edges: DataFrame, of: DataFrame, n: int = 3) -> Da
             b = b.join(nodes.select(F.col("id").alias("other"), "type"), "other").withColumn("r", F.row_number().over(Window.partitionBy("hub", "type").orderBy("other"))).filter(F.col("r") <= 2 * n + 1).select("hub", "other")
             a = a.withColumn("kind", F.substring_index("id", ":", 1))
             return a.join(b, "hub").filter((F.col("id") != F.col("other")) & (F.col("kind") == F.substring_index("other", ":", 1))).select("id", F.lit(rung).alias("rung"), "other").distinct()
-        return a.join(b, "hub").filter("id <> other").select("id", F.lit(rung).alias("rung"), "other").distinct()
+        return split_join(a, b, ["hub"], F.col("id"), F.col("other")).filter("id <> other").select("id", F.lit(rung).alias("rung"), "other").distinct()
 
     every = near.select("id", "rung", "other").unionByName(shared("tests_word", "src", 2)).unionByName(shared("cefr_level", "dst", 3)).join(known, "other", "left_semi")
     one = every.groupBy("id", "other").agg(F.min("rung").alias("rung"))
@@ -226,11 +228,9 @@ def related(nodes: DataFrame, edges: DataFrame, of: DataFrame, n: int = 3) -> Da
 def cross_version(units: DataFrame, stop: list[str], limit: int = 3) -> DataFrame:
     """G17, U07 (unit, other, jaccard): units (unit, theme, title). Of the units that share a theme and a word of
     the title, the `limit` with the largest share of common words."""
-    u = units.select("unit", "theme", title_tokens(F.col("title"), stop).alias("w")).filter(F.size("w") > 0)
+    u = units.select(F.col("unit").alias("k"), "theme", title_tokens(F.col("title"), stop).alias("w")).filter(F.size("w") > 0)
     # joined by (theme, word), so that only units with something in common meet
-    x = u.select("unit", "theme", "w", F.explode("w").alias("word"))
-    y = u.select(F.col("unit").alias("other"), "theme", F.col("w").alias("w2"), F.explode("w").alias("word"))
-    p = x.join(y, ["theme", "word"]).filter("unit <> other").select("unit", "other", F.round(F.size(F.array_intersect("w", "w2")) / F.size(F.array_union("w", "w2")), 3).alias("jaccard")).distinct()
+    p = jaccard_pairs(u, u, 3, ["theme"]).filter("k <> o").select(F.col("k").alias("unit"), F.col("o").alias("other"), F.col("j").alias("jaccard"))
     return p.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("jaccard"), "other"))).filter(F.col("r") <= limit).drop("r")
 
 

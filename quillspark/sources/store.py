@@ -5,34 +5,13 @@ the caller swaps names; what a version needs of the one before is read while tha
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.core import latest
+from .scratch import new_version, shared, stored
 
-
-def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset a temporary folder of a local master, else the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        local = spark.sparkContext.master.startswith("local")
-        where = tempfile.mkdtemp(prefix="quill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return where.rstrip("/")
-
-
-def new_version(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/versions/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """df written as a new version of a table, partitioned by `by`, and read again. K03."""
-    path = new_version(df.sparkSession, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    return out.select(*df.columns)
+__all__ = ["latest", "new_version", "recompute", "replace_relation", "shared", "stored", "update", "upsert", "with_ids"]
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
