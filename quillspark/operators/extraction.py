@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import nearest_before
-from .phrases import dictionary, phrase_table
+from .phrases import SENTENCE_PATTERNS, dictionary, phrase_table
+
+__all__ = ["SENTENCE_PATTERNS"]
 
 # Headings of sections and what kind a section is.
 KINDS = {"Starting out": "Intro", "Understanding ideas": "Reading", "Using language": "Grammar", "Developing ideas": "Reading", "Presenting ideas": "Speaking", "Reflection": "Review", "Project": "Project", "Self-assessment": "Review", "Integrated skills": "Integrated", "Reading and Thinking": "Reading", "Reading and Writing": "Writing", "Reading for Writing": "Writing", "Listening and Speaking": "Listening", "Listening and Talking": "Listening", "Discovering Useful Structures": "Grammar", "Assessing Your Progress": "Review", "Workbook": "Workbook", "Video Time": "Listening", "Words in Use": "Vocabulary", "Grammar": "Grammar", "Vocabulary": "Vocabulary", "Listening": "Listening", "Speaking": "Speaking", "Reading": "Reading", "Writing": "Writing"}

@@ -26,6 +26,19 @@ from ..sources.scratch import stored, text_bytes
 
 BLOCK_BYTES = 64 << 20  # of a dictionary that is broadcast at once
 AROUND = {"verb_phrase": (60, 60), "function_expression": (30, 50), "sentence_pattern": (30, 30)}  # fixed values: evidence before and after
+# Sentence patterns and their labels.
+SENTENCE_PATTERNS = [
+    (r"\bIt is .* that .*\b", "强调句"),
+    (r"\bNot only .* but also .*\b", "倒装/并列"),
+    (r"\bThe more .* the more .*\b", "the more...the more"),
+    (r"\bSo .* that .*\b", "so...that 结果状语"),
+    (r"\bSuch .* that .*\b", "such...that"),
+    (r"\bif .* would .*\b", "虚拟语气"),
+    (r"\bI wish .* were .*\b", "虚拟语气 (wish)"),
+    (r"\bRather than .* prefer .*\b", "rather than"),
+    (r"\bNo sooner .* than .*\b", "no sooner...than"),
+    (r"\bHardly .* when .*\b", "hardly...when"),
+]
 ANCHORS = "array<struct<form:string,key:string,i:int,at:int>>"
 CUT = 160  # a fixed value: of a sentence pattern's evidence
 

@@ -442,6 +442,21 @@ def e05(s, d):
     return E.phrases(x, ["the", "er"], []).select("unit", "canonical", "evidence")
 
 
+# the first three words of each benchmark text are the dictionary
+_GRAMS = "ph as (select distinct canonical from (select array_to_string(string_split(lower(text), ' ')[1:3], ' ') as canonical from benchmark) where canonical like '_% _% _%')"
+_PATTERNS = [*E.SENTENCE_PATTERNS, (r"\bthe .* and the\b", "the ... and the"), (r" der .* und ", "der ... und")]
+_AT = "select lang as volume, doc_id % 20 as unit, doc_id as seq, canonical, kind, substr(replace(substr(text, greatest(1, p - w), p + n + w - greatest(1, p - w)), chr(10), ' '), 1, cut) as evidence from"
+_PATTERN_SQL = " union all ".join(f"select {i} as i, '{label}' as canonical, '{rx}' as rx" for i, (rx, label) in enumerate(_PATTERNS))
+
+
+@register("e05_phrase_index", f"with {_GRAMS}, dic as ({_AT} (select d.*, canonical, 'verb_phrase' as kind, strpos(lower(text), canonical) as p, length(canonical) as n, 60 as w, 100000 as cut from documents d, ph) where p > 0), pt as ({_PATTERN_SQL}), m as (" + " union all ".join(f"select d.*, {i} as i, regexp_extract(text, '(?is){rx}') as x from documents d where regexp_matches(text, '(?is){rx}')" for i, (rx, _) in enumerate(_PATTERNS)) + f"), sen as ({_AT} (select m.*, canonical, 'sentence_pattern' as kind, strpos(text, x) as p, length(x) as n, 30 as w, 160 as cut from m join pt using (i))) select volume, unit, canonical, kind, arg_min(evidence, seq) as evidence from (select * from dic union all select * from sen) group by all")
+def e05b(s, d):
+    head = F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 3), " ")
+    ph = t(s, d, "benchmark").select(head.alias("canonical")).filter("canonical like '_% _% _%'").distinct().select("canonical", F.lit("verb_phrase").alias("kind"), F.lit(60).alias("before"), F.lit(60).alias("after"))
+    x = t(s, d, "documents").select(F.col("lang").alias("volume"), (F.col("doc_id") % 20).alias("unit"), F.col("doc_id").alias("seq"), "text")
+    return E.phrase_table(x, ph, _PATTERNS)
+
+
 @q("e06_page_units", "select i, least(5, i // 3 + 1)::int as unit from (select unnest(range(0, 17)) as i)")
 def e06(s, d):
     return s.range(17).select(F.col("id").alias("i"), E.page_unit(F.lit(5), F.col("id"), F.lit(17)).alias("unit"))

@@ -61,11 +61,33 @@ def q06(s, d):
     return B.trend_spec(kind_trend(s, d))
 
 
-@q("q07_replay_pool", "select question, 2 as how from exam where year = 2015 and (region = 'src7' or not exists (select 1 from exam where region = 'src7' and year = 2015)) union all select question, 1 from exam where year = 2016", "exam")
+_RISING = f"y as (select year, count(*) as n from (select year, unnest({S.TOKENS}) as word from exam) where length(word) >= 3 group by year), gr as (select coalesce(regr_slope(n, year), 0) as s from y), fr as (select word, year, count(*) as n from (select year, unnest({S.TOKENS}) as word from exam) group by all), yr as (select year, row_number() over (order by year desc) as r, count(*) over () as years from (select distinct year from fr)), ri as (select word, sum(case when r <= 3 then n else 0 end) as recent, sum(case when r > 3 then n else 0 end) as older from fr join yr using (year) where years >= 6 group by word), best as (select string_agg('word:' || word, ',' order by recent desc, word) as preferred from (select * from ri where recent >= 3 and older <= 1 order by recent desc, word limit 6))"
+
+
+@register("q06_predicted_spec", f"with {S.ctes('bank', 'exam')}, {_TREND}, {_RISING}, w as (select kind, greatest(share + 5 * slope, 0.02) as w from tr) select kind, greatest(1, round_even(30 * w / (select sum(w) from w), 0))::int as want, case when s > 50 then 'hard' else 'mixed' end as difficulty, coalesce(preferred, '') as preferred from w, gr, best")
+def q06b(s, d):
+    f = stored(O.token_frequency(S.exam(s, d), ["year"], "text"), "frequency")
+    y = f.filter(F.length("word") >= 3).groupBy("year").agg(F.sum("n").alias("n"))
+    return B.predicted_spec(kind_trend(s, d), y.agg(F.regr_slope("n", "year").alias("slope")), O.rising_words(f))
+
+
+_POOL = "select question{more} from exam where year >= {y} and (contains(region, '{r}') or not exists (select 1 from exam where contains(region, '{r}') and year >= {y}))"
+
+
+@q("q07_replay_pool", _POOL.format(more=", 2 as how", y=2020, r="src1") + " union all " + _POOL.format(more=", 1 as how", y=2021, r="nowhere"), "exam")
 def q07(s, d):
     e = S.exam(s, d)
-    first = B.replay_pool(e, "src7", 2015).select("question", F.lit(2).alias("how"))
-    return first.unionByName(B.replay_pool(e, "nowhere", 2016).select("question", F.lit(1).alias("how")))
+    first = B.replay_pool(e, "src1", 2020).select("question", F.lit(2).alias("how"))
+    return first.unionByName(B.replay_pool(e, "nowhere", 2021).select("question", F.lit(1).alias("how")))
+
+
+_REPLAY_KIND = {"en": "阅读理解", "fr": "完形填空", "de": "语法填空", "es": "单选(语法/词汇)"}
+
+
+@register("q07_replay_paper", f"with {S.ctes('exam')}, e as (select question as item, case qtype " + " ".join(f"when '{k}' then '{v}'" for k, v in _REPLAY_KIND.items()) + " end as kind, year, region from exam), o as (select * from e where year >= 2018 and (contains(region, 'src1') or not exists (select 1 from e where contains(region, 'src1') and year >= 2018))), mix(kind, want) as (values ('阅读理解', 6), ('完形填空', 3), ('语法填空', 2), ('单选(语法/词汇)', 6), ('短文改错', 1)), p as (select item, kind from (select item, o.kind, want, row_number() over (partition by o.kind order by sha256('42:' || item), item) as r from o join mix on mix.kind = o.kind) where r <= want) select row_number() over (order by sha256('43:' || item), item)::int as seq, item, kind from p")
+def q07b(s, d):
+    kind = F.coalesce(*[F.when(F.col("qtype") == k, F.lit(v)) for k, v in _REPLAY_KIND.items()])
+    return B.replay_paper(S.exam(s, d).select(F.col("question").alias("item"), kind.alias("kind"), "region", "year"), "src1", 2018, 25)
 
 
 @register("q08_vocabulary_quiz")
@@ -111,10 +133,17 @@ def q12b(s, d):
     return B.outside_tags(every, every.select("item").distinct(), ["grammar:Brand#11", "word:the"])
 
 
+@q("q13_placement_pool", "select item, 1 as how from bank where kind = '续写' and (difficulty = 'mid' or not exists (select 1 from bank where kind = '续写' and difficulty = 'mid')) union all select item, 2 from bank where kind = '应用文'", "bank")
+def q13b(s, d):
+    b = S.bank(s, d)
+    strict = B.placement_pool(b, "续写", "mid").select("item", F.lit(1).alias("how"))
+    return strict.unionByName(B.placement_pool(b, "应用文", "none").select("item", F.lit(2).alias("how")))
+
+
 @register("q13_greedy_cover")
 def q13(s, d):
     x = stored(S.tags(s, d).filter("tag like 'word:%'"), "tags")
-    return B.greedy_cover(S.bank(s, d).filter("kind = '应用文'").select("item"), x, 4)
+    return B.greedy_cover(B.placement_pool(S.bank(s, d), "应用文", "hard").select("item"), x, 40)
 
 
 KEY_SQL = "key as (select l_orderkey % 50 as paper, l_partkey as item, max(l_shipmode) as answer from lineitem group by all)".replace("l_shipmode", "l_returnflag")
@@ -210,25 +239,73 @@ def q22(s, d):
     return B.handout(c.select(F.col("conv_id").alias("course"), F.element_at(kinds, (F.col("turn") % 7 + 1).cast("int")).alias("kind"), "text"), ORDER)
 
 
-@register("q23_lesson_words", f"with {S.ctes('unitword', 'curr', 'examword')}, tr as (select word, count(*) as times, array_to_string(list_slice(list(year order by year desc, question), 1, 3), ',') as recent from examword where word in (select word from curr) group by word), st as (select word, case when regexp_matches(word, '^.{{4,}}(tion|sion|ness|able|less|ment)$') then word[:-5] when regexp_matches(word, '^.{{4,}}(ing|ful|ity|ive|ous)$') then word[:-4] when regexp_matches(word, '^.{{4,}}(ed|ly|er|or|ic|al|en)$') then word[:-3] when length(word) >= 4 then word else '' end as stem from curr), fm as (select a.word, array_to_string(list_sort(list(b.word)), ',') as forms from st a join st b on a.stem = b.stem and a.stem <> '' and a.word <> b.word group by a.word) select volume, unit, u.word, coalesce(times, 0) as times, coalesce(recent, '') as recent, coalesce(forms, '') as forms, case when coalesce(times, 0) >= 5 then 'core' when coalesce(times, 0) >= 1 then 'seen' else 'new' end as hint from unitword u left join tr on u.word = tr.word left join fm on u.word = fm.word")
+_HINT = "case when status = 'HV_extra' then '{HV_extra}' when status = 'core' and freq >= 3 then '{core, frequent}' when status = 'core' then '{core}' when status = 'LV_extra' then '{LV_extra}' else '{else}' end"
+for _k, _v in {**B.TEACHING, "else": B.TEACHING_ELSE}.items():
+    _HINT = _HINT.replace("{" + _k + "}", _v)
+_STATUS = "st as (select word, case when word in (select word from curr) then case when word in (select word from examword) then 'core' else 'standard' end when word in (select word from examword) then 'HV_extra' else 'LV_extra' end as status from (select word from curr union select word from unitword))"
+
+
+@register("q23_lesson_words", f"with {S.ctes('unitword', 'curr', 'examword')}, {_STATUS}, tr as (select word, least(3, count(*)) as freq, array_to_string(list_slice(list(year || '/' || question order by year desc, question), 1, 3), ',') as recent from examword where word in (select word from curr) group by word), sm as (select word, case when regexp_matches(word, '^.{{4,}}(tion|sion|ness|able|less|ment)$') then word[:-5] when regexp_matches(word, '^.{{4,}}(ing|ful|ity|ive|ous)$') then word[:-4] when regexp_matches(word, '^.{{4,}}(ed|ly|er|or|ic|al|en)$') then word[:-3] when length(word) >= 4 then word else '' end as stem from curr), fm as (select a.word, array_to_string(list_slice(list_sort(list(b.word)), 1, 5), ',') as forms from sm a join sm b on a.stem = b.stem and a.stem <> '' and a.word <> b.word group by a.word), u as (select volume, unit, word from (select *, row_number() over (partition by volume, unit order by word) as r from unitword) where r <= 25), j as (select volume, unit, u.word, status, coalesce(freq, 0) as freq, coalesce(recent, '') as recent, coalesce(forms, '') as forms from u left join tr on u.word = tr.word left join fm on u.word = fm.word left join st on u.word = st.word) select volume, unit, row_number() over (partition by volume, unit order by freq desc, word)::int as seq, word, status, freq, recent, forms, {_HINT} as hint from j")
 def q23(s, d):
-    c = S.curriculum(s, d)
-    trace = S.exam_words(s, d).join(c.select("word"), "word", "left_semi").select("word", "year", "question")
-    return B.lesson_words(S.unit_words(s, d), trace, O.word_families(c.select("word")))
+    c, e, u = S.curriculum(s, d).select("word"), S.exam_words(s, d), S.unit_words(s, d)
+    names = F.when(F.col("status") == "high", "HV_extra").when(F.col("status") == "low", "LV_extra").otherwise(F.col("status"))
+    status = O.four_quadrants(c, e.select("word").distinct(), u.select("word").distinct()).withColumn("status", names)
+    return B.lesson_words(u, e.join(c, "word", "left_semi").select("word", "year", "question"), O.word_families(c), status)
+
+
+# sub-questions are marked inside the texts, as the given tables have no marks
+_ANALYSIS = "x as (select doc_id as question, 2010 + doc_id % 13 as year, case when doc_id % 3 = 0 then text else substr(text, 1, 50) || '【' || (doc_id % 40 + 1) || '题详解】 ' || substr(text, 51, 200) || ' [ 7 题详解 ] ' || substr(text, 251) end as analysis from documents), m as (select *, regexp_extract_all(analysis, '[【\\[]\\s*(\\d+)\\s*题详解\\s*[】\\]]', 1) as n, string_split_regex(analysis, '[【\\[]\\s*(\\d+)\\s*题详解\\s*[】\\]]') as b from x where year >= 2021 and length(analysis) > 100), i as (select question, unnest(case when len(n) = 0 then [{'k': 0, 'body': analysis}] else list_transform(list_zip(n, b[2:len(n) + 1]), lambda z: {'k': z[1]::int, 'body': regexp_replace(z[2], '^\\s+|\\s+$', '', 'g')}) end, recursive := true) from m), a as (select question, k as number, substr(body, 1, 300) as excerpt, list_filter([" + ", ".join("case when " + " or ".join(f"contains(body, '{w}')" for w in ws) + f" then '{k}' end" for k, ws in B.SKILLS.items()) + f"], lambda z: z is not null) as named from i), s as (select question, number, excerpt, case when len(named) = 0 then ['{B.NO_SKILL}'] else named end as skills from a)"
 
 
-@q("q24_annotation", "select label, count(*) as n from (select unnest(case when len(l) = 0 then ['other'] else l end) as label from (select list_filter([case when contains(lower(text), 'which') or contains(lower(text), 'the') then 'detail' end, case when contains(lower(text), 'why') or contains(lower(text), 'ing') then 'reason' end], lambda x: x is not null) as l from benchmark)) group by label")
+def annotated(s, d):
+    i, x = F.col("doc_id"), F.col("text")
+    marked = F.concat(F.substring(x, 1, 50), F.lit("【"), (i % 40 + 1).cast("string"), F.lit("题详解】 "), F.substring(x, 51, 200), F.lit(" [ 7 题详解 ] "), F.substring(x, F.lit(251), F.greatest(F.lit(1), F.length(x))))
+    q = t(s, d, "documents").select(i.alias("question"), (F.lit(2010) + i % 13).alias("year"), F.col("lang").alias("kind"), F.when(i % 3 == 0, x).otherwise(marked).alias("analysis"))
+    return B.annotate(q)
+
+
+@register("q24_sub_items", f"with {_ANALYSIS} select question, number, excerpt, array_to_string(skills, '|') as skills from s")
+def q24b(s, d):
+    return annotated(s, d).select("question", "number", "excerpt", F.array_join("skills", "|").alias("skills"))
+
+
+@register("q24_annotation", f"with {_ANALYSIS} select skill, count(*) as n from (select unnest(skills) as skill from s) group by skill")
 def q24(s, d):
-    low = F.lower("text")
-    flags = F.filter(F.array(F.when(L.contains_any(low, ["which", "the"]), "detail"), F.when(L.contains_any(low, ["why", "ing"]), "reason")), lambda x: x.isNotNull())
-    return t(s, d, "benchmark").select(F.explode(F.when(F.size(flags) == 0, F.array(F.lit("other"))).otherwise(flags)).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return B.skill_distribution(annotated(s, d))
+
 
+def _touched(ws):
+    return "(" + " or ".join(f"contains(t, '{w.lower()}')" for w in ws) + ")"
 
-@register("q25_theme_gap", f"with {S.ctes('bank')}, r as (select avg(contains(stem, 'the')::int) as a, avg(contains(stem, 'der')::int) as b from bank where origin = 'real'), m as (select avg(contains(stem, 'the')::int) as a, avg(contains(stem, 'der')::int) as b from bank where origin <> 'real'), x as (select 'x' as theme, r.a as p, m.a as o from r, m union all select 'y', r.b, m.b from r, m) select theme, round(p, 4) as real_share, round(o, 4) as made_share, round(p - o, 4) as gap, greatest(0, ceil((p - o) * 100))::int as suggested from x")
+
+@register("q25_theme_gap", f"with {S.ctes('bank')}, x as (select lower(stem || ' ' || coalesce(answer, '')) as t, origin = 'real' as real from bank where stem is not null), h as (" + " union all ".join(f"select '{k}' as theme, count(*) filter (real and {_touched(ws)}) as rc, count(*) filter (not real and {_touched(ws)}) as mc from x" for k, ws in B.THEMES.items()) + "), z as (select *, rc / greatest(1, sum(rc) over ()) * 100 as r, mc / greatest(1, sum(mc) over ()) * 100 as m from h) select theme, rc as real_count, mc as made_count, round(r, 1) as real_pct, round(m, 1) as made_pct, round(r - m, 1) as gap, case when r - m > 2 then greatest(0, round_even((r - m) * 0.5, 0))::int else 0 end as suggested from z")
 def q25(s, d):
-    b = S.bank(s, d)
-    has = lambda w: F.contains("stem", F.lit(w))
-    return B.theme_gap(b.filter("origin = 'real'"), b.filter("origin <> 'real'"), {"x": has("the"), "y": has("der")})
+    b = S.bank(s, d).filter("stem is not null").select("origin", F.concat_ws(" ", "stem", F.coalesce("answer", F.lit(""))).alias("text"))
+    return B.theme_gap(b.filter("origin = 'real'"), b.filter("origin in ('listening_exercise', 'writing_exercise', 'rule_synth')"))
+
+
+# letters are made of the texts, as the given tables have none
+_LETTER = "x as (select 'doc/' || doc_id as source, case doc_id % 3 when 0 then 'Dear Tom, I am writing to ' || substr(text, 1, 200) || ' Looking forward to hearing of it. Yours truly' when 1 then 'Hello, I''d like to ' || text else text end as text from documents where text is not null)"
+
+
+def letters(s, d):
+    i, x = F.col("doc_id"), F.col("text")
+    text = F.when(i % 3 == 0, F.concat(F.lit("Dear Tom, I am writing to "), F.substring(x, 1, 200), F.lit(" Looking forward to hearing of it. Yours truly"))).when(i % 3 == 1, F.concat(F.lit("Hello, I'd like to "), x)).otherwise(x)
+    c = t(s, d, "documents").filter("text is not null").select(F.concat(F.lit("doc/"), i.cast("string")).alias("source"), text.alias("text"))
+    return c.withColumn("applied", L.section_flags(F.lit("Writing"), F.col("text"))[1]).withColumn("narrative", L.section_flags(F.lit("Reading"), F.col("text"))[2])
+
+
+_CHUNK_SQL = " union all ".join("select source, '" + k + "' as kind, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + "')) as chunk from a" for k, p in B.LETTER_CHUNKS)
+
+
+@register("q11_applied_templates", f"with {_LETTER}, a as (select * from x where " + " or ".join("contains(text, '" + w.replace("'", "''") + "')" for w in L.APPLIED) + f"), c as ({_CHUNK_SQL}) select source, kind, chunk from c")
+def q11(s, d):
+    return B.applied_templates(letters(s, d))
+
+
+@register("q11_narrative_passages", f"with {_LETTER} select source, length(text) as n_chars, substr(text, 1, 400) as preview from x where " + " + ".join("contains(lower(text), '" + w.lower().replace("'", "''") + "')::int" for w in L.NARRATIVE) + r" + len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '.+ed'))) // 30 >= 1")
+def q11b(s, d):
+    return B.narrative_passages(letters(s, d))
 
 
 @q("q27_issues", "select item, 'no analysis' as issue from bank where analysis = '' union all select item, 'short' from bank where length(stem) < 60 union all select item, 'no transcript' from bank where transcript is null and origin = 'listening_exercise'", "bank")

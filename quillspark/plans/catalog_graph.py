@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -193,3 +194,20 @@ def g08(s, d):
     e = graph(s, d)[1].withColumnsRenamed({"src": "src_id", "dst": "dst_id"})
     near = O.expand(e, "grammar:r1", 2, ["cat_of"], 20)
     return O.subgraph(e, near, ["cat_of"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "relation")
+
+
+# customers of a nation point to the next; those of even nations close a ring, the suppliers lead into it
+_RINGS = "c as (select c_custkey as k, c_nationkey as n, lead(c_custkey) over w as nx, first_value(c_custkey) over w as mn, max(c_custkey) over (partition by c_nationkey) as mx, min('c' || c_custkey) over (partition by c_nationkey) as low from customer window w as (partition by c_nationkey order by c_custkey))"
+
+
+@register("g15_cycle_members", f"with {_RINGS} select 'c' || k as id, case when n % 2 = 1 then 'c' || mx end as root, n % 2 = 0 as cyclic, case when n % 2 = 0 then low end as cycle, n % 2 = 0 as on_cycle from c union all select 's' || s_suppkey, case when f.n is null then 's' || s_suppkey when f.n % 2 = 1 then 'c' || f.mx end, coalesce(f.n % 2 = 0, false), case when f.n % 2 = 0 then f.low end, false from supplier left join (select distinct n, mx, low from c) f on f.n = s_nationkey")
+def g15b(s, d):
+    from ..operators import rounds as R
+
+    w = Window.partitionBy("c_nationkey")
+    key, name = F.col("c_custkey"), lambda c: F.concat(F.lit("c"), c.cast("string"))
+    nxt = F.coalesce(F.lead("c_custkey").over(w.orderBy("c_custkey")), F.when(F.col("c_nationkey") % 2 == 0, F.min("c_custkey").over(w)))
+    c = S.table(s, d, "customer").select("c_nationkey", name(key).alias("id"), name(nxt).alias("parent"), key)
+    first = c.groupBy("c_nationkey").agg(name(F.min("c_custkey")).alias("parent"))
+    u = S.table(s, d, "supplier").join(first, F.col("s_nationkey") == F.col("c_nationkey"), "left").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), "parent")
+    return R.roots(c.select("id", "parent").unionByName(u))
