@@ -26,8 +26,10 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import regex
 from pyspark.sql import DataFrame
@@ -40,11 +42,56 @@ NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")  # separators that str.split drops, but that are no white space here
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^" + SPACE + r"{L}{N}]+"
 
+# The library's character tables, where they differ from the Unicode version of Python's unicodedata (15.1).
+# Letters and numbers that it has besides, by first and last code point.
+MORE_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+MORE_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Lower-case letters that it has besides, by first and last upper-case letter and the distance.
+MORE_LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+# Marks that its canonical composition, of an older version, takes for characters that nothing joins or reorders.
+LATE_MARKS = [(0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF)]
 
-_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(r"[^" + SPACE + r"\p{L}\p{N}]*")
-_WHOLE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[" + SPACE + "]")  # pre-tokens that nothing can make longer
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+_RARE = re.compile("[\u0530-\U0010ffff]")  # below, all versions agree
+_LATE = re.compile(f"([{_class(LATE_MARKS)}])")
+_LOWER = {c: c + by for a, b, by in MORE_LOWER for c in range(a, b + 1)}
+
+
+class Patterns:
+    """Pre-tokens, runs of letters, runs of others, and pre-tokens that nothing can make longer."""
+
+    def __init__(self, letters: str, numbers: str, lib) -> None:
+        fill = lambda p: lib.compile(p.replace("{L}", letters).replace("{N}", numbers))
+        self.pre, self.letters, self.others = fill(_SPLIT), fill("[{L}]*"), fill(r"[^" + SPACE + r"{L}{N}]*")
+        self.whole = fill(r"'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[" + SPACE + "]")
+
+
+_FAST = Patterns(r"\p{L}", r"\p{N}", regex)
+_exact: list[Patterns] = []
+
+
+def patterns(text: str) -> Patterns:
+    """The fast patterns where all of a text's characters are of the same class in every version, else exact tables."""
+    rare = _RARE.findall(text) if not text.isascii() else ()
+    if not any(unicodedata.category(c) == "Cn" for c in rare):
+        return _FAST
+    if not _exact:
+        kinds = {"L": list(MORE_LETTERS), "N": list(MORE_NUMBERS)}
+        for c in range(0x110000):
+            k = unicodedata.category(chr(c))[0]
+            if k in kinds:
+                if kinds[k][-1][1] == c - 1:
+                    kinds[k][-1] = (kinds[k][-1][0], c)
+                else:
+                    kinds[k].append((c, c))
+        _exact.append(Patterns(_class(kinds["L"]), _class(kinds["N"]), re))
+    return _exact[0]
 
 
 def model_path(path: str | None = None) -> str:
@@ -250,7 +297,7 @@ class Encoder:
         return got
 
     def _miss(self, chunk: str) -> bytes:
-        pres = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else _PRE.findall(chunk)
+        pres = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else patterns(chunk).pre.findall(chunk)
         return b"".join(map(self._ids, pres))
 
     def _store(self, pre: str, ids: bytes) -> None:
@@ -263,7 +310,13 @@ class Encoder:
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then lower case letter by letter (without the final sigma of str.lower)."""
-        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        if text.isascii():
+            return text.lower()
+        if not _RARE.search(text):
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        # nothing is joined or moved across a late mark
+        parts = [x if _LATE.match(x) else unicodedata.normalize("NFC", x) for x in _LATE.split(text)]
+        return "".join(parts).translate(_LOWER).replace("Σ", "σ").lower()
 
     def _closed(self, text: str) -> bytes:
         """Ids of normal text that begins at a pre-token and ends before white space."""
@@ -293,7 +346,8 @@ class Encoder:
         text, self.mark = self.mark + text, ""
         out = []
         if self.word is not None or self.open:
-            n = (_LETTERS if self.kind == "L" else _OTHERS).match(text).end()
+            p = patterns(text)
+            n = (p.letters if self.kind == "L" else p.others).match(text).end()
             out.append(self._grow(text[:n]))
             if n == len(text):
                 return b"".join(out)
@@ -303,17 +357,18 @@ class Encoder:
         if cut >= 0:
             out.append(self._closed(text[:cut]))
             text = text[cut + 1 :]
-        found = list(_PRE.finditer(text))
+        p = patterns(text)
+        found = list(p.pre.finditer(text))
         # an apostrophe that begins a pre-token may open a contraction with what comes
         if found and found[-1].end() == len(text):
             k = 1 if found[-1][0] == "'" else 2 if text[-2:] in ("'r", "'v", "'l") and len(found) > 1 and found[-2][0] == "'" else 0
             if k:
                 self.mark = text[found[-k].start() :]
                 found = found[:-k]
-            elif not _WHOLE.fullmatch(found[-1][0]):
+            elif not p.whole.fullmatch(found[-1][0]):
                 last = found.pop()[0]
                 out += [*(self._ids(x[0]) for x in found), self._grow(last)]
-                self.kind = "L" if _LETTERS.match(last).end() else "O"
+                self.kind = "L" if p.letters.match(last).end() else "O"
                 return b"".join(out)
         return b"".join([*out, *(self._ids(x[0]) for x in found)])
 
@@ -330,7 +385,7 @@ class Encoder:
     def _end(self) -> bytes:
         """The end of a stretch of text."""
         mark, self.mark = self.mark, ""
-        return self._close() + b"".join(map(self._ids, _PRE.findall(mark)))
+        return self._close() + b"".join(map(self._ids, patterns(mark).pre.findall(mark)))
 
     def feed(self, piece: str) -> bytes:
         """Ids, as little-endian 32-bit integers, that are stable after this piece."""
@@ -355,9 +410,17 @@ class Encoder:
         self.reset()
         return out
 
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """The ids of a text, as they become stable. A text of up to PIECE characters is one closed piece."""
+        if text and len(text) > PIECE:
+            for i in range(0, len(text), PIECE):
+                yield self.feed(text[i : i + PIECE])
+        elif text:
+            yield self._text(text)
+        yield self.finish()
+
     def encode(self, text: str | None) -> bytes:
-        out = [self.feed(text[i : i + PIECE]) for i in range(0, len(text), PIECE)] if text and len(text) > PIECE else [self._text(text or "")]
-        return b"".join([*out, self.finish()])
+        return b"".join(self.stream(text))
 
 
 class Decoder:
@@ -415,13 +478,16 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
         enc, dec = coders(source.value)
         out: dict[str, list] = {n: [] for n in own}
         for t in texts:
-            data = enc.encode(t)
-            ids = array("I", data).tolist()
-            sha = hashlib.sha256()
-            for i in range(0, len(ids), PIECE):
-                sha.update(dec.feed(ids[i : i + PIECE]).encode())
-            sha.update(dec.finish().encode())
-            for n, x in zip(own, (len(ids), ids if with_ids else None, hashlib.sha256(data).hexdigest(), sha.hexdigest()), strict=True):
+            kept, n_tokens, of_ids, of_text = array("I"), 0, hashlib.sha256(), hashlib.sha256()
+            for data in enc.stream(t):  # only ids that are asked for are held
+                ids = array("I", data)
+                n_tokens += len(ids)
+                of_ids.update(data)
+                of_text.update(dec.feed(ids).encode())
+                if with_ids:
+                    kept += ids
+            of_text.update(dec.finish().encode())
+            for n, x in zip(own, (n_tokens, kept.tolist() if with_ids else None, of_ids.hexdigest(), of_text.hexdigest()), strict=True):
                 out[n].append(x)
         return out
 

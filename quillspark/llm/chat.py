@@ -83,9 +83,13 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     asked = written(q.select("conv", "turn", "level", F.lit(2).alias("weight"), F.col("whole").alias("key")).unionByName(q.select("conv", "turn", "level", F.lit(1).alias("weight"), F.col("line").alias("key"))).distinct(), "quotes")
     have = have.join(asked.select("key").distinct(), "key", "left_semi")
     inside = have.groupBy("conv", "key").agg(F.min("turn").alias("at"))
-    first = have.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("first"))
+    # the earliest message of each key, and the earliest of any other conversation than that one
+    by_conv = inside.select("key", F.struct("conv", F.col("at").alias("turn")).alias("m"))
+    first = by_conv.groupBy("key").agg(F.min("m").alias("first"))
+    second = by_conv.join(first, "key").filter(F.col("m.conv") != F.col("first.conv")).groupBy("key").agg(F.min("m").alias("second"))
+    first = first.join(second, "key", "left")
     hit = asked.join(inside, ["conv", "key"], "left").join(first, "key", "left")
-    to = F.when(F.col("at") < F.col("turn"), F.struct(F.lit(0).alias("far"), F.col("conv").alias("c"), F.col("at").alias("t"))).when(F.col("first.conv") != F.col("conv"), F.struct(F.lit(1).alias("far"), F.col("first.conv").alias("c"), F.col("first.turn").alias("t")))
+    to = F.when(F.col("at") < F.col("turn"), F.struct(F.lit(0).alias("far"), F.col("conv").alias("c"), F.col("at").alias("t"))).when(F.col("first.conv") != F.col("conv"), F.struct(F.lit(1).alias("far"), F.col("first.conv").alias("c"), F.col("first.turn").alias("t"))).when(F.col("second").isNotNull(), F.struct(F.lit(1).alias("far"), F.col("second.conv").alias("c"), F.col("second.turn").alias("t")))
     votes = hit.select("conv", "turn", "level", "weight", to.alias("to")).filter("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("weight").alias("votes"))
     best = votes.groupBy("conv", "turn", "level").agg(F.min(F.struct("to.far", (-F.col("votes")).alias("less"), (-F.col("to.t")).alias("late"), "to")).alias("best"))
     quoted = F.sort_array(F.collect_list(F.struct("level", F.col("best.to.c").alias("conv"), F.col("best.to.t").alias("turn"))))

@@ -17,6 +17,7 @@ component unless all of its members are null; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -143,12 +144,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
     text = F.col(text_col).cast("string")
-    first = small(comp.filter(F.col(id_col) == F.col("component_id")).select(id_col, "fp", "root").distinct().join(again, id_col, "left_semi").withColumnsRenamed({id_col: "_id", "fp": "_fp2", "root": "_root"}))
-    rows = docs.join(again, id_col, "left_semi").withColumn("_fp", fp_of(text)).withColumn("_h", F.xxhash64(text))
-    rows = written(rows.join(first, (F.col(id_col) == F.col("_id")) & (F.col("_fp") == F.col("_fp2"))), "repeated")
-    least = rows.groupBy("_root").agg(F.min(F.struct("_fp", "_h")).alias("_least")).withColumnRenamed("_root", "_root2")
-    one = rows.join(least, (F.col("_root") == F.col("_root2")) & (F.struct("_fp", "_h") == F.col("_least"))).dropDuplicates(["_root"]).select(*docs.columns)
-    return docs.join(again, id_col, "left_anti").join(gone, id_col, "left_anti").select(*docs.columns).unionByName(one)
+    fp, h, own_id, own_fp, root, least_, root2 = (f"_quill{uuid.uuid4().hex}" for _ in range(7))  # docs may have columns of any name
+    first = small(comp.filter(F.col(id_col) == F.col("component_id")).select(id_col, "fp", "root").distinct().join(again, id_col, "left_semi").withColumnsRenamed({id_col: own_id, "fp": own_fp, "root": root}))
+    rows = docs.join(again, id_col, "left_semi").withColumn(fp, fp_of(text)).withColumn(h, F.xxhash64(text))
+    rows = written(rows.join(first, (F.col(id_col) == F.col(own_id)) & (F.col(fp) == F.col(own_fp))), "repeated")
+    least = rows.groupBy(root).agg(F.min(F.struct(fp, h)).alias(least_)).withColumnRenamed(root, root2)
+    one = rows.join(least, (F.col(root) == F.col(root2)) & (F.struct(fp, h) == F.col(least_))).dropDuplicates([root]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(again, id_col, "left_anti").join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
