@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import computed, table
 
-FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 150_000, 64
+FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 200_000, 64
 NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
@@ -203,15 +203,16 @@ class Word:
     def _run(self, new: str) -> None:
         m, lasts = self.m, self.lasts
         s = self.signs = self.signs + new
-        token, tail, fit, fits = m.by_signs.get, m.tails.get, m.fit.get, m.fits
+        token, tail, fit, fits, keep = m.by_signs.get, m.tails.get, m.fit.get, m.fits, lasts.append
         for end in range(len(lasts), len(s) + 1):
-            for n in tail(s[max(0, end - 3) : end]) or tail(s[max(0, end - 2) : end]) or (1,):
+            near = s[end - 3 : end] if end > 2 else s[:end]
+            for n in tail(near) or tail(near[-2:]) or (1,):
                 if n > end or (t := token(s[end - n : end])) is None:
                     continue
                 left = lasts[end - n]
                 ok = fit(left << 16 | t)
                 if ok or (ok is None and fits(left, t)):
-                    lasts.append(t)
+                    keep(t)
                     break
             else:
                 raise AssertionError("a prefix without encoding")
@@ -248,6 +249,11 @@ class Word:
         self._run(chr(256 + self.held))
         return self._path()
 
+    def whole(self, data: bytes) -> list[int]:
+        """A pre-token of up to `lookahead` bytes that has come to its end: nothing of it is stable earlier."""
+        self._run(data[:-1].decode("latin-1") + chr(256 + data[-1]))
+        return self._path()
+
 
 _seconds: set[str] = set()
 
@@ -291,8 +297,8 @@ class Encoder:
         if got is None:
             got = self.older.get(pre)
             if got is None:
-                w = Word(self.m)
-                got = array("I", w.feed(pre.encode()) + w.finish()).tobytes()
+                w, data = Word(self.m), pre.encode()
+                got = array("I", w.whole(data) if len(data) <= self.m.lookahead else w.feed(data) + w.finish()).tobytes()
             self._store(pre, got)
         return got
 
