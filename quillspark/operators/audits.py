@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,9 @@ def run_all(spark: SparkSession, audits: dict[str, Audit]) -> DataFrame:
     for name, audit in audits.items():
         try:
             rows += [tuple(r) for r in audit().select("kind", "severity", "target", "expected", "actual").collect()]
-        except Exception as e:  # any failure of an audit is a finding
+        except Exception as e:  # any failure of an audit is a finding, but a failed job of Spark's is none
+            if isinstance(e, Py4JJavaError):
+                raise
             rows.append((name, "FAIL", f"exception: {type(e).__name__}", 0.0, 0.0))
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -92,6 +95,15 @@ def keyword_rate(words: Column, bag: Column, first: int = 20) -> Column:
     return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.array_contains(bag, x))) / F.size(w))
 
 
+def keyword_rates(rows: DataFrame, keys: list[str], words: str, vocabulary: DataFrame, first: int = 20) -> DataFrame:
+    """J21, Z21 (keys, rate): of each row's first `first` words (column `words`, an array) the share that the vocabulary (word) has; null
+    without words. At most `first` words a row are looked up, by a hash join on the word, so that the cost of a row does
+    not depend on the vocabulary's size, and neither side is collected."""
+    known = vocabulary.select("word").distinct().withColumn("_known", F.lit(1))
+    w = rows.select(*keys, F.explode_outer(F.slice(words, 1, first)).alias("word")).join(known, "word", "left")
+    return w.groupBy(*keys).agg(F.try_divide(F.count("_known"), F.count("word")).alias("rate"))
+
+
 def blacklisted(df: DataFrame, key: str, fields: list[str], words: list[str]) -> DataFrame:
     """Z18, F09 (key, field, word): the first listed word that a field has, whatever its case."""
     s = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("text")) for f in fields])).alias("x")).select(key, "x.*")

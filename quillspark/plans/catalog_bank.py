@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions.text import tokens, verb_root
+from ..operators import audits as Z
 from ..operators import bank as B
 from ..operators import core as O
 from ..sources.store import stored
@@ -435,9 +436,8 @@ def j18(s, d):
 
 @q("j21_keyword_rate", f"select doc_id, round(len(list_filter(w[1:20], lambda x: list_contains(c, x))) / greatest(1, len(w[1:20])), 6) as rate from (select doc_id, {S.TOKENS} as w from documents), (select list(word) as c from curr)", "curr")
 def j21(s, d):
-    c = S.curriculum(s, d).agg(F.collect_list("word").alias("c"))  # one row: the curriculum is of a fixed size
-    w = F.slice(tokens(F.col("text")), 1, 20)
-    return t(s, d, "documents").crossJoin(c).select("doc_id", F.round(F.size(F.filter(w, lambda x: F.array_contains("c", x))) / F.greatest(F.lit(1), F.size(w)), 6).alias("rate"))
+    rows = t(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
+    return Z.keyword_rates(rows, ["doc_id"], "w", S.curriculum(s, d)).select("doc_id", F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("rate"))
 
 
 @q("a03_count_distinct", "select volume, count(distinct word) as words from unitword group by volume", "unitword")
