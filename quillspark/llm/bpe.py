@@ -29,6 +29,7 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import regex
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import computed, table
 
-FILE, PIECE, CACHE, KEPT = "word_bpe_49k.json", 1 << 16, 200_000, 64
+FILE, PIECE, CACHE, KEPT, STATES = "word_bpe_49k.json", 1 << 16, 200_000, 64, 1 << 15
 NONE = 1 << 62
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
@@ -139,21 +140,40 @@ class Model:
         # symbols as characters: the byte, or 256 + the byte where it ends a word
         sign = {x: chr(k) for k, x in enumerate([*self.inner, *self.last])}
         self.by_signs = {"".join([sign[x] for x in p]): t for t, p in self.parts.items()}
-        # lengths of the tokens that end in three symbols, or else in two, longest first
-        tails: dict[str, set[int]] = {}
-        for p in self.by_signs:
-            if len(p) > 1:
-                tails.setdefault(p[-3:], {1}).add(len(p))
-        for p in tails:
-            if p[-2:] in self.by_signs:
-                tails[p].add(2)
-        self.tails = {p: sorted(n, reverse=True) for p, n in tails.items()}
+        self.sorted = sorted(self.by_signs)
+        self.clear()
         self.longest = max(map(len, self.parts.values()))
         self.lookahead = self._chain(merges)
         self.fit: dict[int, bool] = {}
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.openings = {t[:k] for t in self.special for k in range(1, len(t))}  # what a special token may begin with
 
+    def clear(self) -> None:
+        """Forgets the steps that were met. A state stands for the longest suffix of what was read that begins some
+        token; it holds the state after each symbol met there and, under "", (length, token) of the tokens that end there, longest first."""
+        self.states: dict[str, dict] = {}
+        self.start = self._state("")
+
+    def _state(self, suffix: str) -> dict:
+        got = self.states.get(suffix)
+        if got is None:
+            if len(self.states) >= STATES:
+                self.clear()
+            ends = [(len(suffix) - i, self.by_signs[suffix[i:]]) for i in range(len(suffix)) if suffix[i:] in self.by_signs]
+            got = self.states[suffix] = {"": ends, "suffix": suffix}
+        return got
+
+    def step(self, state: dict, symbol: str) -> dict:
+        """The state after one more symbol, the first time that it is met."""
+        suffix = state["suffix"] + symbol
+        while True:
+            at = bisect_left(self.sorted, suffix)
+            if at < len(self.sorted) and self.sorted[at].startswith(suffix):
+                break
+            suffix = suffix[1:]
+        got = state[symbol] = self._state(suffix)
+        return got
+
     def _chain(self, merges: list[tuple[int, int, int]]) -> int:
         """Symbols within which all merges that can depend on each other lie: along a chain of merges of
         rising rank, each sharing a symbol with the one before, the lengths of the tokens add up."""
@@ -198,24 +218,24 @@ class Word:
         self.m = model
         self.signs = ""  # the symbols that are not emitted yet
         self.lasts = [-1]  # of their prefixes, the last token of the encoding; first that of what is emitted
+        self.state = model.start
         self.held = -1  # the newest byte: only the end tells which symbol it is
 
     def _run(self, new: str) -> None:
-        m, lasts = self.m, self.lasts
-        s = self.signs = self.signs + new
-        token, tail, fit, fits, keep = m.by_signs.get, m.tails.get, m.fit.get, m.fits, lasts.append
-        for end in range(len(lasts), len(s) + 1):
-            near = s[end - 3 : end] if end > 2 else s[:end]
-            for n in tail(near) or tail(near[-2:]) or (1,):
-                if n > end or (t := token(s[end - n : end])) is None:
-                    continue
-                left = lasts[end - n]
+        self.signs += new
+        m, lasts, state = self.m, self.lasts, self.state
+        fit, keep = m.fit.get, lasts.append
+        for c in new:
+            state = state.get(c) or m.step(state, c)
+            for n, t in state[""]:
+                left = lasts[-n]
                 ok = fit(left << 16 | t)
-                if ok or (ok is None and fits(left, t)):
+                if ok or (ok is None and m.fits(left, t)):
                     keep(t)
                     break
             else:
                 raise AssertionError("a prefix without encoding")
+        self.state = state
 
     def _path(self) -> list[int]:
         out, end, parts = [], len(self.signs), self.m.parts
