@@ -1,7 +1,7 @@
 """License scans by canonical digests.
 
 A text is brought to a canonical form (case, punctuation, white space, copyright statements, a known
-title line, equivalent spellings), its SHA-256 is joined with the digests of known licence texts, and each of its lines that speaks of a
+title line, equivalent spellings, names of holders in the clauses that have a place for one, the publisher's address), its SHA-256 is joined with the digests of known licence texts, and each of its lines that speaks of a
 licence is looked up among the digests of known notices. Only these constant tables are broadcast.
 
 Defined cases: null and empty texts have the digest of the empty text and no licence; a text that is just
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +86,16 @@ _THIRD = "3. Neither the name of the copyright holder nor the names of its contr
 TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _THIRD + "THIS SOFTWARE IS PROVIDED", 1)
 # Long texts are files of the licence's name.
 TEXTS |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
-# Apache's is also given without its appendix, and without the line that ends its terms.
-_END = "END OF TERMS AND CONDITIONS"
-TEXTS["Apache-2.0"], _, _APPENDIX = TEXTS["Apache-2.0"].partition(_END)
-TAILS["Apache-2.0"] = [_END, _END + _APPENDIX]
+# What ends the terms; they are also given without what follows, and without this line.
+ENDS = ["END OF TERMS AND CONDITIONS", "Exhibit A - Source Code Form License Notice", "EXHIBIT A -Mozilla Public License.", "ADDENDUM: How to use this License for your documents", "The End\n"]
+for _name, _text in TEXTS.items():
+    for _end in ENDS:
+        if _end in _text:
+            TEXTS[_name], _, _rest = _text.partition(_end)
+            TAILS[_name] = [_end, _end + _rest]
+# The notice that Apache's appendix gives for a work stands for the licence.
+_NOTICE = "Licensed under the Apache License"
+ALSO = {"Apache-2.0": [_NOTICE + TAILS["Apache-2.0"][1].partition(_NOTICE)[2]]}
 TITLES |= {"bsd 3 clause license", "the 3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "the bsd 3 clause license"}
 
 
@@ -97,17 +105,37 @@ _BODY = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?
 _OPENINGS = "|".join(sorted({r"\W+".join(re.findall(r"\w+", t)[:3]) for t in [*TEXTS.values(), *(x for n in NOTICES.values() for x in n)]}))
 COPYRIGHT = rf"(?im)^[^\w\n]*(?:copyright[^\w\n]*(?:\(c\)|©|\d{{4}}\b|[<\[{{])|copyright[ \t]*:?[ \t]+(?!{_BODY})\w|©|\(c\)[^\w\n]*(?:copyright\b|\d{{4}}\b)|all rights reserved\b)[^\n]*?(?=\b(?:{_OPENINGS})\b|$)"
 
-_COPYRIGHT, _BREAK, _SPELL, _SPELLED = re.compile(COPYRIGHT), re.compile(r"[\W_]+"), re.compile(rf"\b(?:{_WORDS})\b"), dict(SPELLINGS)
+_COPYRIGHT, _BREAK, _WORD, _SPELL, _SPELLED = re.compile(COPYRIGHT), re.compile(r"[\W_]+"), re.compile(r"[^\W_]+"), re.compile(rf"\b(?:{_WORDS})\b"), dict(SPELLINGS)
+
+
+# Wordings, in plain form, in which holders put their names or for which others are usual.
+WORDINGS = [
+    (r"\bneither the names? of (?:\w+ ){1,16}?n?or the names of (?:(?:its|any|other|their|the) )*contributors\b", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"\bthis software is provided by (?:\w+ ){1,12}?and contributors as is\b", "this software is provided by the copyright holders and contributors as is"),
+    (r"\bin no event shall (?:\w+ ){1,12}?or contributors be liable\b", "in no event shall the copyright holder or contributors be liable"),
+    (r"\b\d+ (?:temple place(?: suite \d+)?|franklin st(?:reet)?(?: \w+ floor)?|mass ave) (?:boston|cambridge) ma \d{5}(?: \d{4})?(?: usa)?\b", ""),
+    (r"\bhttps ", "http "),
+]
+_WORDINGS = [(re.compile(a), b) for a, b in WORDINGS]
+_LONGEST = max(len(t.split()) for t in TITLES)
 
 
 def _plain(text: str) -> str:
-    return _SPELL.sub(lambda m: _SPELLED[m[0]], _BREAK.sub(" ", text.lower())).strip()
+    out = _SPELL.sub(lambda m: _SPELLED[m[0]], _BREAK.sub(" ", text.lower())).strip()
+    for pattern, by in _WORDINGS:
+        out = pattern.sub(by, out)
+    return out.replace("  ", " ").strip()
+
+
+def _titled(line: str) -> bool:
+    words = [m[0] for m in islice(_WORD.finditer(line), _LONGEST + 1)]
+    return len(words) <= _LONGEST and _plain(" ".join(words)) in TITLES
 
 
 def canonical(text: str) -> str:
     t = _COPYRIGHT.sub(" ", text).lstrip()
     title, _, rest = t.partition("\n")
-    if len(title) < 80 and _plain(title) in TITLES:
+    if _titled(title):
         return _plain(_COPYRIGHT.sub(" ", rest)) or _plain(title)
     return _plain(t)
 
@@ -118,7 +146,7 @@ def digest(text: str) -> str:
 
 def known_digests() -> dict[str, str]:
     """Digest to licence: each text with its known tails, and lists of clauses also with bullets in place of numbers."""
-    out = {}
+    out = {digest(t): k for k, ts in ALSO.items() for t in ts}
     for k, t in TEXTS.items():
         for tail in ("", *TAILS.get(k, ())):
             out[digest(t + tail)] = k
