@@ -1,15 +1,19 @@
 """Secret scans with a recursive decoding worklist.
 
 Each layer of a text is scanned by the three patterns, then unwrapped: percent escapes, backslash-u (and
--x) escapes, gzip, zlib and bzip2 streams (all members) among their bytes, and runs of base64, at each
-alignment and over wrapped lines. Bytes that are not UTF-8 are read one character each. What is unwrapped
+-x) escapes, gzip, zlib, bzip2 and xz streams (all members) among their bytes, and runs of base64, at each
+alignment and over wrapped lines, raw deflate in them included. Bytes that are not UTF-8 are read one character each. What is unwrapped
 goes on the worklist until nothing new comes (fixpoint); a layer that was seen before for the same piece
 of text is not scanned again (cycle detection). Escapes decode to a layer with a map of its stretches
 back to the layer above; a base64 run is mapped as a whole. A secret found in a layer is reported as the
 smallest stretch of the original text that holds it; spans are code points, end exclusive.
 
-All layers are scanned. Only bombs are cut: a compressed layer at `max_layer` bytes or RATIO times its
-compressed size, whichever is more. Its stretch is flagged in `truncated`, and redact() takes it out whole.
+All layers are scanned, whatever their length, depth first, so that only the layers above one are held.
+A compressed stream is read chunk by chunk: what it holds is a layer in one piece up to `max_layer` bytes
+or 4 times its compressed size, whichever is more, and beyond that a row of windows of this size that
+overlap by OVERLAP bytes. What a window cannot show whole is flagged in `truncated`, and redact() takes
+its stretch out: a stream inside a window that goes on past its end, and all beyond MAX_DECODED bytes that
+one text's streams unpack to (a bomb of bombs would never end).
 
 Defined cases: null counts as empty; empty texts have no spans; repeated rows give equal results; spans
 that coincide are reported once per kind; other columns are kept by redact() and ignored by scan().
@@ -20,11 +24,12 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +46,13 @@ UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
 BREAK = re.compile(r"[ \t\r\n]+")
-PACKED = re.compile("\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
+# zlib's first two bytes: method 8 with a window of 256 bytes to 32 KB, no dictionary, a multiple of 31 together
+ZLIB = [bytes([a, b]) for a in range(0x08, 0x80, 0x10) for b in range(256) if not b & 0x20 and (a << 8 | b) % 31 == 0]
+PACKED = re.compile("|".join(["\x1f\x8b\x08", "BZh[1-9]1AY&SY", "\xfd7zXZ\0", *(re.escape(x.decode("latin-1")) for x in ZLIB)]))
+BROKEN = (zlib.error, lzma.LZMAError, OSError, ValueError, EOFError)
 BYTES = re.compile("[\x00-\xff]*")
 LEAST = 12  # bytes of the shortest secret; a compressed or nested one is longer
-MAX_LAYER, RATIO = 16 << 20, 200
+MAX_LAYER, OVERLAP, STEP, CHUNK, MAX_DECODED = 16 << 20, 1 << 16, 1 << 18, 1 << 20, 4 << 30
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,28 +101,73 @@ def _backslash(s: str) -> str | None:
         return None
 
 
-def _member(data: bytes, limit: int) -> tuple[bytes, bytes, bool] | None:
-    """(what one compressed stream holds, what follows it, whether it was cut at the limit); None if it is none."""
-    packed = data[:3] == b"BZh"
+def _decoder(data: bytes):
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20) if data[:1] == b"\xfd" else zlib.decompressobj(47)
+
+
+def _member(d, data: bytes) -> Generator[bytes, None, bytes | bool | None]:
+    """What one compressed stream holds, at most CHUNK bytes at a time; returns what follows it, None if it breaks off, False if it is none."""
+    at, deflate = 0, hasattr(d, "unconsumed_tail")
     try:
-        d = bz2.BZ2Decompressor() if packed else zlib.decompressobj(47)
-        out = d.decompress(data, limit)
-    except (zlib.error, OSError, ValueError, EOFError):
-        return None
-    cut = not d.eof and not d.needs_input if packed else bool(d.unconsumed_tail)
-    return out, d.unused_data, cut
+        while not d.eof:
+            piece = d.unconsumed_tail if deflate else b""
+            if not piece if deflate else d.needs_input:
+                if at >= len(data):
+                    if deflate and (out := d.flush()):
+                        yield out
+                    break
+                piece = data[at : at + STEP]
+                at += STEP
+            if out := d.decompress(piece, CHUNK):
+                yield out
+    except BROKEN:
+        return False
+    return d.unused_data + data[at:] if d.eof else None
+
+
+def _outcome(d, data: bytes) -> bytes | bool | None:
+    """What _member returns, without what it yields."""
+    member = _member(d, data)
+    while True:
+        try:
+            next(member)
+        except StopIteration as end:
+            return end.value
+
+
+def _opens(data: bytes, part: bool = False) -> bool:
+    """Whether the bytes begin with a compressed stream. The first 256 bytes tell, but for zlib, whose two bytes come
+    in plain text as well: it must decode to its end, or with the usual first byte as far as the bytes go. part: there are more bytes than these."""
+    if not PACKED.match(data[:10].decode("latin-1")):
+        return False
+    if part or data[:1] in (b"\x1f", b"B", b"\xfd"):
+        return _outcome(_decoder(data), data[:256]) is not False
+    got = _outcome(_decoder(data), data)
+    return isinstance(got, bytes) or (got is None and data[:1] == b"x")
+
+
+def _stream(data: bytes) -> Generator[bytes, None, bool]:
+    """What all members of a compressed stream hold, then what follows them; returns whether the last came to its end."""
+    while _opens(data):
+        rest = yield from _member(_decoder(data), data)
+        if not isinstance(rest, bytes):
+            return False
+        data = rest
+    yield data
+    return True
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """(what all members of a compressed stream hold with what follows them, or None; whether it was cut)."""
-    parts, room = [], limit
-    while PACKED.match(data[:10].decode("latin-1")) and room > 0 and _member(data[:256], 1 << 16) and (got := _member(data, room)):
-        out, data, cut = got
-        parts.append(out)
-        room -= len(out)
-        if cut:
-            return b"".join(parts), True
-    return (b"".join([*parts, data]), room <= 0 and bool(data)) if parts else (None, False)
+def _windows(chunks: Iterable[bytes], size: int) -> Iterator[tuple[bytes, bool]]:
+    """(window, whether more follows) of joined chunks."""
+    held, step = bytearray(), size - min(OVERLAP, size // 2)
+    for c in chunks:
+        held += c
+        while len(held) > size:
+            yield bytes(held[:size]), True
+            del held[:step]
+    yield bytes(held), False
 
 
 def _unbase64(body: str) -> bytes:
@@ -124,9 +177,9 @@ def _unbase64(body: str) -> bytes:
 
 
 def _texts(data: bytes) -> list[str]:
-    """What bytes can be read as: UTF-8, else one character a byte; with NULs, UTF-16 too."""
+    """What bytes can be read as: UTF-8, else (and if they may be packed) one character a byte; with NULs, UTF-16 too."""
     try:
-        out = [data.decode("utf-8")]
+        out = [data.decode("utf-8"), *([data.decode("latin-1")] if not data.isascii() and PACKED.match(data[:10].decode("latin-1")) else [])]
     except UnicodeDecodeError:
         out = [data.decode("latin-1")]
     return [*out, data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")] if b"\0" in data else out
@@ -134,15 +187,14 @@ def _texts(data: bytes) -> list[str]:
 
 def layers(text: str, max_layer: int, cuts: set[tuple[int, int]]) -> Iterator[tuple[str, object]]:
     """(layer, map): all layers below the text itself; map takes a span of the layer to one of the text."""
-    work = deque([(text, lambda a, b: (a, b))])
     seen: set[tuple[int, int, bytes]] = set()
+    room = MAX_DECODED
 
-    def new(layer: str, where, at: tuple[int, int]) -> bool:
+    def new(layer: str, at: tuple[int, int]) -> bool:
         key = (*at, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if key in seen:
             return False
         seen.add(key)
-        work.append((layer, where))
         return True
 
     def stretch(where, marks):
@@ -156,38 +208,60 @@ def layers(text: str, max_layer: int, cuts: set[tuple[int, int]]) -> Iterator[tu
 
         return back
 
-    def unpacked(data: bytes, at: tuple[int, int], above: str):
-        for _ in range(64):  # compressed streams within each other; each strictly a new layer
-            raw, cut = _inflate(data, max(max_layer, RATIO * len(data)))
-            if cut:
-                cuts.add(at)
-            if raw is None:
-                break
-            data = raw
-        if len(data) < LEAST:
-            return
-        for t in _texts(data):
-            if t != above and new(t, back := (lambda a, b, at=at: at), at):
-                yield t, back
-
-    while work:
-        layer, where = work.popleft()
+    def counted(chunks: Generator[bytes, None, bool | bytes | None], at: tuple[int, int], goes_on: bool) -> Iterator[bytes]:
+        nonlocal room
+        ended = yield from spent(chunks)
+        if room <= 0 or (goes_on and not ended):
+            cuts.add(at)
+
+    def spent(chunks):
+        nonlocal room
+        while room > 0:
+            try:
+                c = next(chunks)
+            except StopIteration as end:
+                return end.value
+            room -= len(c)
+            yield c
+
+    def unpacked(data: bytes, at: tuple[int, int], above: str, goes_on: bool, raw: bool):
+        """Layers of bytes; goes_on: they are cut off at the end of a window; raw: they may be raw deflate."""
+        made = [iter([(data, goes_on)])]
+        size = max(max_layer, 4 * len(data))
+        if _opens(data):
+            made = [_windows(counted(_stream(data), at, goes_on), size)]
+        elif raw and _outcome(zlib.decompressobj(-15), data) == b"":
+            made.append(_windows(counted(_member(zlib.decompressobj(-15), data), at, False), size))
+        for window, more in chain.from_iterable(made):
+            for t in _texts(window) if len(window) >= LEAST else ():
+                if t != above and new(t, at):
+                    yield t, (lambda a, b: at), more
+
+    def below(layer: str, where, goes_on: bool):
+        """(layer, map, whether it is cut off at its end) of what one layer unwraps to."""
         for sign, pattern, decode in (("%", PERCENT, _percent), ("%", PERCENT, _percent_bytes), ("\\", BACKSLASH, _backslash)):
-            if sign in layer and (got := _escapes(layer, pattern, decode)) and new(got[0], back := stretch(where, got[1]), where(0, len(layer))):
-                yield got[0], back
+            if sign in layer and (got := _escapes(layer, pattern, decode)) and new(got[0], where(0, len(layer))):
+                yield got[0], stretch(where, got[1]), goes_on
         for m in PACKED.finditer(layer):
-            start = layer[m.start() : m.start() + 256]
-            if _member(BYTES.match(start)[0].encode("latin-1"), 1 << 16) is None:
+            if not _opens(BYTES.match(layer[m.start() : m.start() + 256])[0].encode("latin-1"), True):
                 continue
             end = BYTES.match(layer, m.start()).end()
-            yield from unpacked(layer[m.start() : end].encode("latin-1"), where(m.start(), end), layer)
-        for m in [*BASE64.finditer(layer), *WRAPPED.finditer(layer)]:
+            yield from unpacked(layer[m.start() : end].encode("latin-1"), where(m.start(), end), layer, goes_on and end == len(layer), False)
+        for m in chain(BASE64.finditer(layer), WRAPPED.finditer(layer)):
             # plain words and hex runs decode as well, to what no pattern finds; a run can begin with other
             # words ('path/', 'name_'), so that its groups of four can begin at any of four places
             body = BREAK.sub("", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
-            at = where(m.start(), m.end())
+            at, cut = where(m.start(), m.end()), goes_on and m.end() == len(layer)
             for i in range(4):
-                yield from unpacked(_unbase64(body[i:]), at, layer)
+                yield from unpacked(_unbase64(body[i:]), at, layer, cut, True)
+
+    work = [below(text, lambda a, b: (a, b), False)]  # the worklist, deepest last
+    while work:
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        yield got[:2]
+        work.append(below(*got))
 
 
 def _spans(text: str, max_layer: int) -> tuple[set[tuple[int, int, str]], set[tuple[int, int, str]], set[tuple[int, int]]]:
