@@ -253,12 +253,15 @@ def s03(s, d):
 
 
 def exam_files(s, d):
-    b = t(s, d, "benchmark").orderBy("item_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("x"))  # one small file
+    """Exam files of up to 1,000 examples."""
+    b = t(s, d, "benchmark").groupBy(F.floor(F.col("item_id") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("x"))
     ex = F.transform("x", lambda v: F.struct((2010 + v["item_id"] % 13).cast("string").alias("year"), v["text"].alias("question"), F.array(F.lit("A")).alias("answer"), F.lit("why").alias("analysis")))
-    return files(b.select(F.to_json(F.struct(ex.alias("example"))).alias("value")).coalesce(1), "exams")
+    path = K.new_version(s, "exams")
+    b.select(F.to_json(F.struct(ex.alias("example"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
 
 
-_ITEMS = "i as (select row_number() over (order by item_id) - 1 as i, * from benchmark)"
+_ITEMS = "i as (select row_number() over (partition by item_id // 1000 order by item_id) - 1 as i, * from benchmark)"
 
 
 @register("s04_nested_exams", f"with {_ITEMS} select i, text as question, cast(2010 + item_id % 13 as varchar) as year from i")
@@ -312,9 +315,35 @@ def s12(s, d):
 
 @q("s13_pages", "select page, text from (select row_number() over (order by item_id) as page, replace(text, chr(12), ' ') as text from benchmark where text is not null)")
 def s13(s, d):
-    b = t(s, d, "benchmark").filter("text is not null").agg(F.array_sort(F.collect_list(F.struct("item_id", F.replace("text", F.lit("\f"), F.lit(" ")).alias("text")))).alias("x"))  # one small book
-    path = files(b.select(F.array_join(F.transform("x", lambda v: v["text"]), "\f").alias("value")).coalesce(1), "book")
-    return R.pages(s, path).select(F.col("page").cast("long").alias("page"), F.regexp_replace("text", "\n$", "").alias("text"))
+    one = t(s, d, "benchmark").filter("text is not null").repartition(1).sortWithinPartitions("item_id").select(F.replace("text", F.lit("\f"), F.lit(" ")).alias("value"))  # one small book
+    path = K.new_version(s, "book")
+    one.write.option("lineSep", "\f").text(path)
+    return R.pages(s, path).select(F.col("page").cast("long").alias("page"), "text")
+
+
+def volumes(s, d):
+    """Fourteen volumes, a file each, whose pages are items in the order of their ids."""
+    b = t(s, d, "benchmark").filter("text is not null").select((F.col("item_id") % 14).alias("volume"), "item_id", F.replace("text", F.lit("\f"), F.lit(" ")).alias("value"))
+    path = K.new_version(s, "volumes")
+    b.repartition("volume").sortWithinPartitions("volume", "item_id", "value").drop("item_id").write.partitionBy("volume").option("lineSep", "\f").text(path)
+    return path
+
+
+def volume():
+    return F.regexp_extract("path", "volume=([0-9]+)", 1).cast("long").alias("volume")
+
+
+_BOUND = "b as (select item_id % 14 as volume, item_id, replace(text, chr(12), ' ') as text from benchmark where text is not null)"
+
+
+@register("s13_volumes", f"with {_BOUND} select volume, row_number() over (partition by volume order by item_id, text) as page, text from b")
+def s13_volumes(s, d):
+    return R.pages(s, volumes(s, d)).select(volume(), F.col("page").cast("long").alias("page"), "text")
+
+
+@register("s24_textbooks", f"with {_BOUND} select volume, octet_length(encode(x))::bigint as size, sha256(x) as sha256, n as pages from (select volume, string_agg(text || chr(12), '' order by item_id, text) as x, count(*) as n from b group by volume)")
+def s24(s, d):
+    return R.textbooks(s, volumes(s, d)).select(volume(), "size", "sha256", "pages")
 
 
 def book(s, d):

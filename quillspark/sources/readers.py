@@ -3,11 +3,12 @@ parsed on the driver. Pages of books are read as text, one file a volume, pages
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.language import province, question_type
+from .scratch import small
 
 EXAMPLE = "struct<year: string, category: string, question: string, answer: array<string>, analysis: string, index: int, score: int>"
 STUDENT = ["student_id", "name", "school", "grade"]
@@ -114,14 +115,34 @@ def students_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return s, c.withColumn("name", F.concat_ws(" ", "school", "grade", "class_id"))
 
 
+def _page_blocks(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pages as Spark's reader cuts them at form feeds, and per block of a file how many there are and how many come before it."""
+    at = F.monotonically_increasing_id().alias("at")
+    p = spark.read.option("lineSep", "\f").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), at, F.col("value").alias("text"))
+    b = p.groupBy("path", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return p, b.withColumn("before", F.coalesce(before, F.lit(0)))
+
+
 def pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """S13 (file, page, text): pages from 1 of texts that form feeds part."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    """S13 (file, path, page, text): pages from 1 of texts that form feeds part. A form feed at a file's end ends its last page, and an
+    empty file has none. Files are cut as they are read, so that none is held whole and many tasks read a large one: a page's number is
+    its place in its block of the file and the count of the pages in the blocks before."""
+    p, b = _page_blocks(spark, path)
+    at = (F.col("before") + F.col("at") - F.col("least") + 1).cast("int")
+    return p.join(small(b.select("path", "block", "least", "before"), "blocks"), ["path", "block"]).select("file", "path", at.alias("page"), "text")
+
+
+def textbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """S24 (file, path, size, sha256, pages): volumes with their digests and page counts. The task that hashes a volume reads it whole (up to 2 GB); pages
+    are counted by blocks. Spark's scans skip empty files, so these have no row here either."""
+    f = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    n = _page_blocks(spark, path)[1].groupBy("path").agg(F.sum("n").alias("pages"))
+    return f.join(n, "path", "left").select("file", "path", "size", "sha256", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 def manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """S23, S24 (path, size, sha256): of every file, read whole by the task that hashes it."""
+    """S23 (path, size, sha256): of every file, read whole by the task that hashes it."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

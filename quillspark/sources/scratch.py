@@ -50,3 +50,9 @@ def text_bytes(df: DataFrame) -> int:
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             size += F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
     return df.agg(F.sum(size)).first()[0] or 0
+
+
+def small(df: DataFrame, name: str, limit: int = 64 << 20) -> DataFrame:
+    """df stored, to be broadcast if it takes at most `limit` bytes; else it is joined by a shuffle."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if text_bytes(kept) <= limit else kept

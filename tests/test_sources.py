@@ -91,6 +91,27 @@ def book(spark, tmp_path, text, name="v1.txt"):
     return R.pages(spark, str(tmp_path / name))
 
 
+def test_pages_of_many_blocks(spark, tmp_path):
+    """Files that the reader cuts into many blocks keep their page numbers; empty pages count, empty files are skipped."""
+    import hashlib
+
+    texts = {"a.txt": [f"page {i} " + "é\n" * (i % 7) for i in range(900)], "b.txt": ["", "x", "", "y\n"], "c.txt": ["only"], "empty.txt": []}
+    (tmp_path / "books").mkdir()
+    for name, p in texts.items():
+        (tmp_path / "books" / name).write_bytes("".join(x + "\f" for x in p).encode())
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = R.pages(spark, str(tmp_path / "books"))
+        assert spark.read.option("lineSep", "\f").text(str(tmp_path / "books")).rdd.getNumPartitions() > 8
+        assert rows(got, "file", "page", "text") == sorted(((n, i + 1, x) for n, p in texts.items() for i, x in enumerate(p)), key=str)
+        m = R.textbooks(spark, str(tmp_path / "books"))
+        assert rows(m, "file", "size", "sha256", "pages") == sorted(((n, len(b), hashlib.sha256(b).hexdigest(), len(texts[n])) for n in texts if texts[n] for b in [(tmp_path / "books" / n).read_bytes()]), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert R.pages(spark, str(tmp_path / "books" / "empty.txt")).count() == 0
+
+
 def test_units_and_sections(spark, tmp_path):
     p = book(spark, tmp_path, "cover\fUNIT\n1 TEENAGE LIFE 12\nReading and Thinking page\fmore\nUNIT 1 again\fUnit 2 Travel\nListening first\ntext\fReading\nz")
     u = E.units(p)
