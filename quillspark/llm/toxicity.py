@@ -86,7 +86,7 @@ def fit(x: list[list[int]], y: np.ndarray, n_features: int, prior: list[float],
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE, min_z: float = MIN_Z, max_features: int = MAX_FEATURES) -> Model:
-    grade = F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, F.when(F.col("quality") == 0, 1).otherwise(0))
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0))
     y = labels.select(F.col("doc_id").alias("_id"), grade.alias("grade")).filter("grade is not null and _id is not null").groupBy("_id").agg(F.max("grade").alias("grade"))
     parts = [y.filter(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(per_grade) for g in range(GRADES)]
     picked = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -127,6 +127,10 @@ def test_labels_without_quality_are_no_sample(spark):
     labels = spark.createDataFrame([(i, None, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
     assert model.weights == {} and not any(r["rejected"] for r in toxicity.score(docs, model).collect())
+    docs = spark.createDataFrame([(i, "awful text" if i < 20 else "good text") for i in range(40)], "doc_id long, text string")
+    halves = lambda quality: spark.createDataFrame([(i, 1, 1) if i < 20 else (i, quality, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs, halves(1)).weights != {}
+    assert toxicity.train(docs, halves(None)).weights == {}  # toxic labels alone are one grade
 
 
 def test_fit_against_a_plain_search():
