@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import first_of, title_tokens
-from .core import jaccard_pairs
+from .core import set_pairs, token_sets
 from .splits import split_join
 
 # The relations that a graph may hold.
@@ -226,12 +226,19 @@ def related(nodes: DataFrame, edges: DataFrame, of: DataFrame, n: int = 3) -> Da
 
 
 def cross_version(units: DataFrame, stop: list[str], limit: int = 3) -> DataFrame:
-    """G17, U07 (unit, other, jaccard): units (unit, theme, title). Of the units that share a theme and a word of
-    the title, the `limit` with the largest share of common words."""
-    u = units.select(F.col("unit").alias("k"), "theme", title_tokens(F.col("title"), stop).alias("w")).filter(F.size("w") > 0)
-    # joined by (theme, word), so that only units with something in common meet
-    p = jaccard_pairs(u, u, 3, ["theme"]).filter("k <> o").select(F.col("k").alias("unit"), F.col("o").alias("other"), F.col("j").alias("jaccard"))
-    return p.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("jaccard"), "other"))).filter(F.col("r") <= limit).drop("r")
+    """G17, U07 (unit, other, jaccard): units (unit, theme, title), a row a unit. Of the units that share a theme and a word of
+    the title, the `limit` with the largest share of common words.
+
+    Units of one theme with the same words have the same shares, so that only distinct sets of words are compared; of each set its
+    first limit + 1 units can be chosen, one more than are wanted as a unit is not its own other."""
+    u = token_sets(units.select("unit", "theme", title_tokens(F.col("title"), stop).alias("w")))
+    own = [F.col("theme"), F.col("set")]
+    first = u.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy("unit"))).filter(F.col("r") <= limit + 1).select("theme", F.col("set").alias("b"), F.col("unit").alias("other"))
+    p = set_pairs(u, u, 3, ["theme"]).join(first, ["theme", "b"]).withColumnsRenamed({"a": "set", "j": "jaccard"})
+    near = p.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("jaccard"), "other"))).filter(F.col("r") <= limit + 1).select("theme", "set", "other", "jaccard")
+    # units are never broadcast: a plan's estimate of them is too small
+    c = u.select("unit", "theme", "set").hint("merge").join(near, ["theme", "set"]).filter("unit <> other").select("unit", "other", "jaccard")
+    return c.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("jaccard"), "other"))).filter(F.col("r") <= limit).drop("r")
 
 
 def unit_alignment(edges: DataFrame) -> DataFrame:
