@@ -2,25 +2,27 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import core as O
 from quillspark.operators import graph as G
+from quillspark.plans import registry
 
 WORDS = ["amber", "brick", "cedar", "delta", "ember", "flint"]
 
 
-def most_rows(plan):
-    """The rows of the operator that made most of them."""
+def most_rows(plan, kind=""):
+    """The rows of the operator (of a kind) that made most of them."""
     if plan.nodeName() == "AdaptiveSparkPlan":
-        return most_rows(plan.executedPlan())
+        return most_rows(plan.executedPlan(), kind)
     if plan.nodeName().endswith("QueryStage"):
-        return most_rows(plan.plan())
-    own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
-    return max([own, *[most_rows(plan.children().apply(i)) for i in range(plan.children().size())]])
+        return most_rows(plan.plan(), kind)
+    own = plan.metrics().apply("numOutputRows").value() if kind in plan.nodeName() and plan.metrics().contains("numOutputRows") else 0
+    return max([own, *[most_rows(plan.children().apply(i), kind) for i in range(plan.children().size())]])
 
 
-def made(df):
-    """Rows of df, and the most rows of an operator of its plan."""
+def made(df, kind=""):
+    """Rows of df, and the most rows of an operator (of a kind) of its plan."""
     df = df.select("*")
-    return [tuple(r) for r in df.collect()], most_rows(df._jdf.queryExecution().executedPlan())
+    return [tuple(r) for r in df.collect()], most_rows(df._jdf.queryExecution().executedPlan(), kind)
 
 
 def jaccard(a, b):
@@ -39,3 +41,14 @@ def test_cross_version_compares_titles_not_units(spark):
         want += [(i, k, -j) for j, k in near[:3]]
     assert sorted(rows) == sorted(want)
     assert most < 10 * n
+
+
+def test_jaccard_compares_sets_not_rows(spark):
+    sets = [WORDS, WORDS[1:] + ["grove"], [w + "s" for w in WORDS]]
+    n = 600
+    df = spark.createDataFrame([(i, sets[i % 3]) for i in range(n)] + [(0, sets[1]), (0, sets[0]), (n, None), (n + 1, [])], "k int, w array<string>")
+    rows, most = made(O.jaccard_pairs(df.filter("k % 10 = 0"), df))
+    own = {i: [sets[i % 3]] for i in range(n)} | {0: sets[:2]}
+    want = {(k, o, jaccard(a, b)) for k in range(0, n, 10) for o in range(n) for a in own[k] for b in own[o] if set(a) & set(b)}
+    assert sorted(rows) == sorted(want)
+    assert most <= 1.1 * len(want)
