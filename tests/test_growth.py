@@ -52,3 +52,12 @@ def test_jaccard_compares_sets_not_rows(spark):
     want = {(k, o, jaccard(a, b)) for k in range(0, n, 10) for o in range(n) for a in own[k] for b in own[o] if set(a) & set(b)}
     assert sorted(rows) == sorted(want)
     assert most <= 1.1 * len(want)
+
+
+def test_acceptance_broadcasts_no_units(spark, tmp_path):
+    """y17 over one brand whose 3,000 parts share a word."""
+    p = spark.range(3000).select(F.col("id").alias("p_partkey"), F.concat_ws(" ", F.element_at(F.lit(WORDS), (F.col("id") % 6 + 1).cast("int")), F.lit("large")).alias("p_name"), F.lit("Brand#1").alias("p_brand"))
+    p.write.parquet(f"{tmp_path}/part.parquet")
+    rows, most = made(registry.queries()["y17_acceptance"](spark, str(tmp_path)), "BroadcastExchange")
+    assert rows == [("y17", True)]
+    assert most < 100
