@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import alignment as A
 from quillspark.operators import core as O
 from quillspark.operators import graph as G
 from quillspark.plans import registry
@@ -61,3 +62,14 @@ def test_acceptance_broadcasts_no_units(spark, tmp_path):
     rows, most = made(registry.queries()["y17_acceptance"](spark, str(tmp_path)), "BroadcastExchange")
     assert rows == [("y17", True)]
     assert most < 100
+
+
+def test_overall_is_summed_in_the_order_of_dimensions(spark, monkeypatch):
+    """Of eight scores of sf0.1, whose sum is 438 or a little less as they are ordered."""
+    scores = [50.0, 100.0, 47.3, 6.2, 71.2, 75.1, 50.0, 38.2]
+    one = lambda i, v: lambda bank: bank.select(F.lit(f"d{i}").alias("dimension"), F.lit(v).alias("score"), F.lit(True).alias("pass"))
+    monkeypatch.setattr(A, "DIMENSIONS", [one(i, v) for i, v in enumerate(scores)])
+    df = A.alignment(spark.range(1))
+    assert {r["dimension"]: r["score"] for r in df.collect()} == {f"d{i}": v for i, v in enumerate(scores)} | {"overall": 54.7}
+    # an average over rows is summed as tasks end, which one machine does not show
+    assert "avg(score" not in df._jdf.queryExecution().optimizedPlan().toString()
