@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
@@ -137,8 +134,7 @@ def q26(s, d):
 
 @q("x09_overall", f", r as ({_ALL}) select round(avg(score), 1) as score from r", "bank")
 def x09(s, d):
-    every = reduce(DataFrame.unionByName, [f(S.bank(s, d)) for f in A.DIMENSIONS])
-    return every.agg(F.round(F.avg("score"), 1).alias("score"))
+    return A.scores(S.bank(s, d)).select(F.round("mean", 1).alias("score"))
 
 
 # -- the model's audit

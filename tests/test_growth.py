@@ -1,5 +1,8 @@
 """What queries make on the way grows with their input and result, and what ends a ranking is settled by the query itself."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import alignment as A
@@ -73,3 +76,9 @@ def test_overall_is_summed_in_the_order_of_dimensions(spark, monkeypatch):
     assert {r["dimension"]: r["score"] for r in df.collect()} == {f"d{i}": v for i, v in enumerate(scores)} | {"overall": 54.7}
     # an average over rows is summed as tasks end, which one machine does not show
     assert "avg(score" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_x09_averages_no_rows(spark):
+    df = registry.queries()["x09_overall"](spark, "/root/testdata/sf0.001")
+    assert "avg(score" not in df._jdf.queryExecution().optimizedPlan().toString()
