@@ -1,11 +1,13 @@
 """What queries make on the way grows with their input and result, and what ends a ranking is settled by the query itself."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import alignment as A
+from quillspark.operators import bank as B
 from quillspark.operators import core as O
 from quillspark.operators import graph as G
 from quillspark.plans import registry
@@ -82,3 +84,24 @@ def test_overall_is_summed_in_the_order_of_dimensions(spark, monkeypatch):
 def test_x09_averages_no_rows(spark):
     df = registry.queries()["x09_overall"](spark, "/root/testdata/sf0.001")
     assert "avg(score" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_courses_are_cut_before_students_meet_them(spark):
+    """40 students with up to three weak tags of 200 courses each: ten of each tag can be chosen."""
+    rng = random.Random(5)
+    of = {f"word:{i}": rng.sample(range(900), 200) for i in range(3)}
+    m = spark.createDataFrame([(c, "word", t) for t, cs in of.items() for c in cs] + [(0, "exam", "word:0"), (1, None, "word:1")], "course int, kind string, tag string")
+    weak = {s: rng.sample(list(of), 1 + s % 3) for s in range(40)}
+    df = B.courses_for(spark.createDataFrame([(s, t) for s, ts in weak.items() for t in ts], "student int, tag string"), m)
+    rows, most = made(df.select("student", "course", "tag", "seq"))
+    assert sorted(rows) == sorted((s, c, t, i + 1) for s, ts in weak.items() for i, (c, t) in enumerate(sorted((c, t) for t in ts for c in of[t])[:10]))
+    assert most <= 40 * 3 * 10
+
+
+def test_weak_tags_are_distinct_where_a_student_lies(spark):
+    wrong = spark.createDataFrame([(s, i) for s in range(5) for i in range(8)], "student int, item int")
+    tags = spark.createDataFrame([(i, f"word:{k}") for i in range(8) for k in range(6)] + [(0, "year:1")], "item int, tag string")
+    df = B.weak_concepts(wrong, tags)
+    assert sorted(map(tuple, df.collect())) == [(s, f"word:{k}") for s in range(5) for k in range(6)]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange" not in plan.split("BroadcastHashJoin")[0]  # what joins answers and tags is not shuffled any more
