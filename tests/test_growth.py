@@ -98,6 +98,23 @@ def test_courses_are_cut_before_students_meet_them(spark):
     assert most <= 40 * 3 * 10
 
 
+def test_recommended_courses_are_cut_before_students_meet_them(spark):
+    rng = random.Random(6)
+    of = {c: rng.sample(range(700), 150) for c in range(4)}
+    m = spark.createDataFrame([(x, c) for c, xs in of.items() for x in xs], "course int, concept int")
+    weak = [(s, c, rng.choice([0.4, 0.5, 0.9])) for s in range(40) for c in range(4) if rng.random() < 0.7]
+    rows, most = made(B.recommended(spark.createDataFrame(weak, "student int, concept int, score double"), m).select("student", "course", "score"))
+    want = []
+    for s in range(40):
+        best = {}
+        for x, c, v in weak:
+            if x == s:
+                best |= {k: max(v, best.get(k, 0)) for k in of[c]}
+        want += [(s, k, v) for v, k in sorted((-v, k) for k, v in best.items())[:20]]
+    assert sorted(rows) == sorted((s, k, -v) for s, k, v in want)
+    assert most <= len(weak) * 20
+
+
 def test_weak_tags_are_distinct_where_a_student_lies(spark):
     wrong = spark.createDataFrame([(s, i) for s in range(5) for i in range(8)], "student int, item int")
     tags = spark.createDataFrame([(i, f"word:{k}") for i in range(8) for k in range(6)] + [(0, "year:1")], "item int, tag string")
