@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,18 @@ def test_weak_tags_are_distinct_where_a_student_lies(spark):
     assert sorted(map(tuple, df.collect())) == [(s, f"word:{k}") for s in range(5) for k in range(6)]
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Exchange" not in plan.split("BroadcastHashJoin")[0]  # what joins answers and tags is not shuffled any more
+
+
+@pytest.mark.parametrize("n", [1, 3, 10])
+def test_spaced_cuts_a_text_once(spark, n):
+    """Long texts among short ones and a null; the plan has neither a generator nor a filter that makes tokens anew for each pick."""
+    texts = {1: "One two-three 'four' É five's x ab Abc " * 3000, 2: "", 3: None, 4: "abcd", 5: "-- abcd 'EFGH ijkl- mn"}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "k int, text string")
+    got = B.spaced(df, F.col("text"), n, lambda w: len(w) >= 4, ["k"])
+    want = []
+    for k, v in texts.items():
+        kept = [(i, w.lower()) for i, w in enumerate(re.findall(r"[A-Za-z][A-Za-z'\-]{1,}", v or "")) if len(w) >= 4]
+        want += [(k, j, *x) for j, x in enumerate(kept if len(kept) <= n else [kept[i * len(kept) // n] for i in range(n)])]
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "split(" not in plan
