@@ -138,3 +138,12 @@ def test_spaced_cuts_a_text_once(spark, n):
     assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "split(" not in plan
+
+
+def test_grammar_fill_cuts_a_text_once(spark):
+    df = spark.createDataFrame([(1, "walked kind kindness Hoping ed " * 500), (2, None)], "passage int, text string")
+    got = B.grammar_fill(df)
+    kept = [(i, w.lower()) for i, w in enumerate("walked kind kindness Hoping ed".split() * 500) if w in ("walked", "kindness", "Hoping")]
+    root = {"walked": "walk", "kindness": "kind", "hoping": "hop"}
+    assert sorted(map(tuple, got.collect())) == [(1, j + 1, *kept[j * 1500 // 10], root[kept[j * 1500 // 10][1]]) for j in range(10)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
